@@ -7,8 +7,9 @@ they stand for, so equal words get equal names in every text with no exchange of
 With each symbol goes its *context*: the words that decide that it was formed as it was.
 A symbol whose context lies in a window is formed the same way wherever that window's
 words stand.  A window's anchor is, of the highest level that has such symbols, the one
-with the smallest name; texts that share an anchor are compared (see ``repeats``), window
-by window over a 128-bit hash of all 35 words.
+with the smallest name.  Symbols of that level are short, so an anchor is told apart by
+the half window that begins or ends at it, whichever the window holds; texts that share
+that are compared (see ``repeats``), window by window over a 128-bit hash of all 35 words.
 
 Defined cases: a null or empty text has no words; documents shorter than a window lose
 nothing; runs and periodic texts are windows like any others; rows that repeat in full
@@ -30,7 +31,7 @@ from helixframe.llm import repeats
 from helixframe.llm.textbuf import U, RollingHash, mix, slices, word_hashes, word_spans
 
 WINDOW = 35
-ROUNDS = 4
+ROUNDS = 3
 #: Rounds that name runs before pairs.
 RUN_ROUNDS = (0, 2)
 
@@ -147,18 +148,22 @@ def find(raw: np.ndarray, offsets: np.ndarray, width: int = WINDOW, rounds: int
         return none, none, none, none, none.astype(U), none.astype(U)
     levels = parse(names, head, rounds)
     level, sym = anchors(levels, starts, width)
-    change = (np.diff(starts) != 1) | (np.diff(level) != 0) | (np.diff(sym) != 0) | (np.diff(text[starts]) != 0)
+    place = np.empty(len(starts), np.int64)
+    for depth, v in enumerate(levels):
+        m = np.flatnonzero(level == depth)
+        place[m] = v.start[sym[m]]
+    # a window holds the words of its anchor's larger side: half a window names the anchor
+    half = width // 2
+    early = place - starts < width - half
+    change = (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(early.view(np.int8)) != 0) | (np.diff(text[starts]) != 0)
     a = np.concatenate(([0], np.flatnonzero(change) + 1))
     b = np.concatenate((a[1:], [len(starts)])) - 1
-    s1, s2 = starts[a], starts[b]
-    name, at = np.empty(len(a), U), np.empty(len(a), np.int64)
-    for depth, v in enumerate(levels):
-        m = np.flatnonzero(level[a] == depth)
-        name[m] = mix(v.sym[sym[a[m]]] + U((depth + 1) * 0x1F83D9ABFB41BD6B % (1 << 64)))
-        at[m] = v.start[sym[a[m]]]
+    s1, s2, at, side = starts[a], starts[b], place[a], early[a]
+    rolling = RollingHash(names)
+    name = rolling.of(np.where(side, at, at - half), np.where(side, at + half, at)) ^ np.where(side, U(0), U(0xE7037ED1A0B428DB))
     t = text[s1]
     base = first[t]
-    return t, s1 - base, s2 - base, at - base, name, RollingHash(names).of(s1, s2 + width)
+    return t, s1 - base, s2 - base, at - base, name, rolling.of(s1, s2 + width)
 
 
 def _window_rows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:

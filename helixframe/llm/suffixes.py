@@ -2,8 +2,9 @@
 
 Every 200-byte window samples one suffix of its text: the one that begins with the
 32-byte gram of the smallest hash in the window (leftmost of equals).  Equal windows
-sample suffixes that begin alike, so the sampled suffixes fall into shards by their first
-gram, and a shard is sorted on its own (see ``repeats`` for what is sorted where).
+sample suffixes with the same surroundings; the half window that begins or ends at the
+gram, whichever the window holds, is the shard, and a shard is sorted on its own (see
+``repeats`` for what is sorted where).
 
 A shard's suffixes are sorted by deep-shallow sorting: multikey quicksort orders them by
 their next bytes to a shallow depth; groups that are still together, whose common prefix
@@ -13,7 +14,7 @@ common prefix r to the right and l to the left repeat l + r bytes; the pairs tha
 are found by merging the shard's groups from the deepest prefix up, each time looking at
 the neighbours in the left order alone.
 
-A gram with over ``SHARD_SPANS`` different surroundings is not gathered in a task: its
+A half window with over ``SHARD_SPANS`` different surroundings is not gathered in a task: its
 windows are compared by a 128-bit hash instead, which spreads over all tasks.
 
 Defined cases: a null or empty text is empty; texts shorter than a window lose nothing;
@@ -75,15 +76,19 @@ def find(raw: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.
             good[a : b - width + 1] = True
     starts = np.flatnonzero(good)
     at = at[starts]
-    new = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1)) + 1
+    # a window holds the bytes of its gram's larger side: half a window names the suffix
+    half = width // 2
+    early = at - starts <= width - half
+    new = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1) | (np.diff(early.view(np.int8)) != 0)) + 1
     a = np.concatenate(([0], new))
     b = np.concatenate((new, [len(starts)])) - 1
-    s1, s2, anchor = starts[a], starts[b], at[a]
+    s1, s2, anchor, side = starts[a], starts[b], at[a], early[a]
     text = np.searchsorted(offsets, s1, side="right") - 1
     base = offsets[text]
     # spans are told apart by all their bytes: each position's 8-byte gram up to the last whole one
-    whole = RollingHash(mix(g + U(0x3C79AC492BA7B653))).of(s1, s2 + width - 7)
-    return text, s1 - base, s2 - base, anchor - base, h[anchor], whole
+    rolling = RollingHash(mix(g + U(0x3C79AC492BA7B653)))
+    name = rolling.of(np.where(side, anchor, anchor - half), np.where(side, anchor + half, anchor) - 7) ^ np.where(side, U(0), U(0xE7037ED1A0B428DB))
+    return text, s1 - base, s2 - base, anchor - base, name, rolling.of(s1, s2 + width - 7)
 
 
 def lcp(a: bytes, b: bytes, known: int = 0) -> int:
