@@ -12,6 +12,7 @@ by one; ties go to the smaller gap, and within a gap to the sequence opened last
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,21 +28,58 @@ END_ID = 0
 #: Pieces for a shard: its state is one array of gaps and the open sequences.
 SHARD_PIECES = 8192
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
+class PieceIds(dict):
+    """The ids of a piece: a run of letters, a digit, or a run of other characters, lower-cased."""
+
+    def __init__(self, model):
+        self.model = model
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.letters = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class WordIds(dict):
-    """The ids of a word, as little-endian unsigned 32-bit bytes."""
+    """The ids of a word, as little-endian unsigned 32-bit bytes.
+
+    Words of plain Latin letters and signs are cut into pieces here, by the tokenizer's own
+    pattern, and only pieces go to its model; any other word goes through the tokenizer.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        spec = json.loads(self.tok.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        forms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        # the short way holds for this make of tokenizer alone
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"]) if [x["type"] for x in steps] == ["Split", "ByteLevel"] and forms == ["NFC", "Replace", "Lowercase"] else None
+        self.plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+        self.pieces = PieceIds(self.tok.model)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if self.cut is None or "<|" in text or not self.plain.fullmatch(text):
+            ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        elif text.isascii() and text.isalpha():
+            ids = self.pieces[text.lower()]
+        else:
+            ids = b"".join([self.pieces[x] for x in self.cut.findall(text.lower())])
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
