@@ -49,3 +49,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def hash_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, the first by hash of ``key``.
+
+    A table with many more rows is thinned by the same hash before it is sorted, so what
+    tasks send to the driver is bounded by ``n`` and does not grow with their number.
+    """
+    total = rows.count()
+    thin = rows.withColumn("hx_order", F.xxhash64(key))
+    if total > 8 * n:
+        # expected rows left: 4 n; hashes are even over the signed 64-bit range
+        thin = thin.where(F.col("hx_order") < F.lit(int(-(1 << 63) + (1 << 64) * 4 * n // total)))
+    return thin.orderBy("hx_order").limit(n).drop("hx_order")

@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import hash_sample
+
 #: At most so many pages of the table that mark their own article teach the weights.
-SAMPLE_PAGES = 400
+SAMPLE_PAGES = 400  # of twice as many that are looked at
 
 # fixed values: HTML element names by their part in a page
 BLOCKS = frozenset(
@@ -224,8 +226,9 @@ def extract(page: str | None, w: Weights) -> str:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Weights:
     """Weights from the fixed pages and at most ``sample_pages`` pages that mark their article."""
     page = F.col(f"`{html_col}`")
-    one = pages.where(F.contains(page, F.lit("<article")) & F.contains(page, F.lit("</article>"))).select(F.xxhash64(f"`{id_col}`", F.length(page)).alias("h"), page.alias("p"))
-    return weights([r["p"] for r in one.orderBy("h").limit(sample_pages).collect()])
+    some = hash_sample(pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), page.alias("p")), F.col("id"), 2 * sample_pages)
+    one = some.where(F.contains("p", F.lit("<article")) & F.contains("p", F.lit("</article>"))).orderBy("id").limit(sample_pages)
+    return weights([r["p"] for r in one.select("p").collect()])
 
 
 def main_text(pages: DataFrame, w: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

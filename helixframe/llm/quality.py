@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, fresh, words
+from helixframe.llm.common import SPACE, fresh, hash_sample, words
 from helixframe.runtime import barrier, let
 
 WINDOW = 8
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ident = F.col(f"`{id_col}`")
     known = labels.select(ident.cast("long").alias("hx_id"), F.col(f"`{label_col}`").alias("hx_y")).where("hx_id IS NOT NULL AND hx_y IS NOT NULL")
     known = known.groupBy("hx_id").agg(F.min("hx_y").alias("hx_y"), F.max("hx_y").alias("hx_y2")).where("hx_y = hx_y2")
-    sample = known.orderBy(F.xxhash64("hx_id"), "hx_id").limit(sample_rows).select("hx_id", "hx_y")
+    sample = hash_sample(known, F.col("hx_id"), sample_rows).select("hx_id", "hx_y")
     texts = docs.select(ident.cast("long").alias("hx_id"), F.col(f"`{text_col}`").alias("text"))
     # at most sample_rows pairs of an id and a label: a side of bounded size
     labelled = statistics(texts.join(F.broadcast(sample), "hx_id")).where(~base_failed())

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LOWER, UPPER, fresh
+from helixframe.llm.common import LOWER, UPPER, fresh, hash_sample
 
 #: Size of the key sample on the driver, and the number of ranges cut from it.
 SAMPLE_KEYS = 2048
@@ -111,7 +111,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
 
 def _ranges(urls: DataFrame) -> tuple[list[str], list[int]]:
     """Range bounds from a bounded sample of keys, and how many salted copies each range gets."""
-    got = [r[0] for r in urls.orderBy(F.xxhash64("ident", "key")).limit(SAMPLE_KEYS).select("key").collect()]
+    got = [r[0] for r in hash_sample(urls.select("ident", "key"), F.struct("ident", "key"), SAMPLE_KEYS).select("key").collect()]
     got.sort(key=lambda k: k.encode())
     step = max(1, len(got) // RANGES)
     cut = got[step::step]
