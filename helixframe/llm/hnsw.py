@@ -31,8 +31,14 @@ from helixframe.runtime import materialize
 LINKS = 16
 BUILD_BEAM = 80
 SEARCH_BEAM = 140
-SHARD_ROWS = 2048
-QUERY_BLOCK = 1024
+#: There are at least MIN_SHARDS shards, and none of more than about SHARD_ROWS vectors.  A
+#: search costs the logarithm of a shard's size but grows with their number, so shards are
+#: as large as a task can hold.
+SHARD_ROWS = 65536
+MIN_SHARDS = 8
+#: Queries that a task brings to a shard, and how many of them walk in step.
+QUERY_BLOCK = 8192
+IN_STEP = 512
 
 
 class Graph:
@@ -180,10 +186,15 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int = SEARCH_BEAM) -> np.ndarray:
         """Ids of the nodes near each query, nearest first, padded with -1."""
-        at = np.full((len(q), 1), self.entry)
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = self._walk(q, at, layer, 1)[0]
-        return self._walk(q, at, 0, beam)[0]
+        out = np.full((len(q), beam), -1)
+        for a in range(0, len(q), IN_STEP):
+            part = q[a : a + IN_STEP]
+            at = np.full((len(part), 1), self.entry)
+            for layer in range(len(self.layers) - 1, 0, -1):
+                at = self._walk(part, at, layer, 1)[0]
+            got = self._walk(part, at, 0, beam)[0]
+            out[a : a + IN_STEP, : got.shape[1]] = got
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -202,7 +213,7 @@ INDEX = "dim int, shard int, ids array<long>, at array<int>, vectors binary, lev
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each shard of ``vectors`` (id, v): ids by node, distinct vectors, flat neighbour arrays."""
-    sizes = {r["dim"]: max(1, -(-r["n"] // shard_rows)) for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["dim"]: max(MIN_SHARDS, -(-r["n"] // shard_rows)) for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return vectors.sparkSession.createDataFrame([], INDEX)
     many = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
