@@ -146,7 +146,7 @@ def molecular_weight(s: Column, kind: str = "protein", double: bool = False, cir
     """Mass of the chain; null if a letter has no mass or the sequence is empty."""
     table = {"protein": PROTEIN_MASS, "DNA": DNA_MASS, "RNA": RNA_MASS}[kind]
     u = F.upper(s)
-    n = F.char_length(u)
+    n = F.char_length(u).cast("long")
     bonds = n if circular else n - 1
     mass = _sum_of(u, table) - bonds * round(WATER * 10000)
     if double:
