@@ -122,6 +122,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     last = some.join(ends, [*LEVELS, "bucket"]).withColumn("upto", F.sum("n").over(within)).withColumn("tie", F.sum("n").over(same))
     cutoff = last.where(F.col("before") + F.col("upto") - F.col("tie") < F.col("rest")).groupBy(*LEVELS).agg(F.max("h").alias("cutoff"))
     leaf = plan.select(*LEVELS, "whole").join(cutoff, list(LEVELS), "left").where("whole > 0 OR cutoff IS NOT NULL")
+    # a row for each leaf: written first, so that Spark knows its size and need not deal out the texts
+    leaf = materialize(leaf.coalesce(1), "mix-leaves")
     got = rows.join(leaf, list(LEVELS)).withColumn("h", order(F.col("ident"), F.col("whole") + 1))
     times = F.col("whole") + F.coalesce((F.col("h") <= F.col("cutoff")).cast("int"), F.lit(0))
     got = got.where(times > 0).withColumn("hx_epoch", F.explode(F.sequence(F.lit(1), times)))
