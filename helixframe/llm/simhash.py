@@ -292,7 +292,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     k1, k2 = fresh(docs, "hx_k1", "hx_k2")
     ident = F.col(f"`{id_col}`").cast("long")
     rows = docs.withColumns({k1: F.coalesce(ident, F.lit(0)), k2: F.hash(ident, F.col(f"`{text_col}`"))})
-    out = rows.join(keep.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_semi")
+    # what is kept grows with the corpus: it is never broadcast, at any size
+    out = rows.join(keep.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).hint("merge"), [k1, k2], "left_semi")
     if not keep.where("copies > 1").isEmpty():
         out = out.dropDuplicates([k1, k2])
     return out.drop(k1, k2)
