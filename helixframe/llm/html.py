@@ -154,10 +154,11 @@ def learn(pages: list[list[tuple[str, str, str, int, bool]]], smooth: float = 0.
     for key in inside.keys() | outside.keys():
         odds = math.log((inside[key] + smooth) / (outside[key] + smooth))
         if key[0] == "w":
-            # within content roles a word always speaks for content; elsewhere it speaks against
-            out[key] = max(0.5, odds) if key[1] in CONTENT else min(-0.5, odds)
+            # within content roles a word always speaks for content; elsewhere it speaks against,
+            # but softly: such blocks are left out of the region, and must not cut it in two
+            out[key] = max(0.5, odds) if key[1] in CONTENT else min(-0.01, odds / 100)
         else:
-            out[key] = min(-0.02, max(odds, -3.0) / 10 if odds < 0 else -0.02)
+            out[key] = min(-0.02, max(odds, -3.0) / 100)
     return out
 
 
@@ -202,7 +203,7 @@ def extract(page: str | None, w: Weights) -> str:
     for kind, value, role, _ in seq:
         if kind == "w":
             n = len(value.split())
-            scores.append(n * w.get(("w", role), 0.5 if role in CONTENT else -0.5) if n else 0.0)
+            scores.append(n * w.get(("w", role), 0.5 if role in CONTENT else -0.5 if role == "link" else -0.05) if n else 0.0)
         else:
             scores.append(w.get(("t", role if role not in CONTENT else value.lstrip("/")), -0.05))
     start, end = best_region(scores)
