@@ -54,9 +54,9 @@ _MASS = " + ".join(f"{_N(c)} * {round(v * 10000)}" for c, v in S.PROTEIN_MASS.it
 _HYDRO = " + ".join(f"{_N(c)} * ({round(v * 10000)})" for c, v in S.HYDROPATHY.items())
 
 
-@query(f"WITH {AA} SELECT id, round(CASE WHEN length(aa) > 0 THEN ({_MASS} - (length(aa) - 1) * {round(S.WATER * 10000)}) / 10000.0::DOUBLE END, 3) AS mass, round(CASE WHEN length(aa) > 0 THEN ({_HYDRO}) / 10000.0::DOUBLE / length(aa) END, 6) AS gravy FROM p")
+@query(f"WITH {AA} SELECT id, (CASE WHEN length(aa) > 0 THEN ({_MASS} - (length(aa) - 1) * {round(S.WATER * 10000)}) / 10000.0::DOUBLE END) AS mass, (CASE WHEN length(aa) > 0 THEN ({_HYDRO}) / 10000.0::DOUBLE / length(aa) END) AS gravy FROM p")
 def molecular_weight(spark, d):
-    return proteins(spark, d).select("id", F.round(S.molecular_weight(F.col("aa")), 3).alias("mass"), F.round(S.gravy(F.col("aa")), 6).alias("gravy"))
+    return proteins(spark, d).select("id", S.molecular_weight(F.col("aa")).alias("mass"), S.gravy(F.col("aa")).alias("gravy"))
 
 
 def _charge_sql(ph: str) -> str:
