@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from helixframe.runtime import barrier
 
+#: From this bound on, rare features decide; below it nearly all features would be rare enough.
+PREFIX_FROM = 0.3
 METRICS = ("jaccard", "max_containment", "min_containment")
 
 
@@ -28,7 +30,7 @@ def pairs(features: DataFrame, record: str = "record", feature: str = "feature",
     """(i, j, score) for i < j with a score over 0 and over ``lower``."""
     rows = features.select(F.col(record).alias("r"), F.col(feature).alias("f")).where("r IS NOT NULL AND f IS NOT NULL").distinct()
     sizes = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    if lower <= 0 or metric == "max_containment":
+    if lower < PREFIX_FROM or metric == "max_containment":
         a, b = rows.select(F.col("r").alias("i"), "f"), rows.select(F.col("r").alias("j"), "f")
         shared = a.join(b, "f").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
     else:
