@@ -27,6 +27,14 @@ PROTEIN_MASS = {
 DNA_MASS = {"A": 331.2218, "C": 307.1971, "G": 347.2212, "T": 322.2085}
 RNA_MASS = {"A": 347.2212, "C": 323.1965, "G": 363.2206, "U": 324.1813}
 WATER = 18.0153
+# fixed values: the same masses of the lightest isotopes
+PROTEIN_MASS_MONO = {
+    "A": 89.047678, "C": 121.019749, "D": 133.037508, "E": 147.053158, "F": 165.078979, "G": 75.032028, "H": 155.069477, "I": 131.094629, "K": 146.105528, "L": 131.094629,
+    "M": 149.051049, "N": 132.053492, "O": 255.158292, "P": 115.063329, "Q": 146.069142, "R": 174.111676, "S": 105.042593, "T": 119.058243, "U": 168.964203, "V": 117.078979, "W": 204.089878, "Y": 181.073893,
+}
+DNA_MASS_MONO = {"A": 331.06817, "C": 307.056936, "G": 347.063084, "T": 322.056602}
+RNA_MASS_MONO = {"A": 347.063084, "C": 323.051851, "G": 363.057999, "U": 324.035867}
+WATER_MONO = 18.010565
 # fixed values: Kyte-Doolittle hydropathy
 HYDROPATHY = {
     "A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5,
@@ -134,26 +142,28 @@ def gc_skew(s: Column) -> Column:
     return F.when(g + c > 0, (g - c) / (g + c)).otherwise(F.lit(0.0))
 
 
-def _sum_of(s: Column, table: dict[str, float]) -> Column:
-    """Ten thousandths of the sum of the letters' values: whole numbers, so the order of addition is no matter."""
+def _sum_of(s: Column, table: dict[str, float], parts: int = 10_000) -> Column:
+    """The sum of the letters' values in whole 1 / ``parts``, so the order of addition is no matter."""
     total = F.lit(0).cast("long")
     for letter, value in table.items():
-        total = total + count(s, letter) * F.lit(round(value * 10000)).cast("long")
+        total = total + count(s, letter) * F.lit(round(value * parts)).cast("long")
     return total
 
 
-def molecular_weight(s: Column, kind: str = "protein", double: bool = False, circular: bool = False) -> Column:
+def molecular_weight(s: Column, kind: str = "protein", double: bool = False, circular: bool = False, monoisotopic: bool = False) -> Column:
     """Mass of the chain; null if a letter has no mass or the sequence is empty."""
-    table = {"protein": PROTEIN_MASS, "DNA": DNA_MASS, "RNA": RNA_MASS}[kind]
+    average = {"protein": PROTEIN_MASS, "DNA": DNA_MASS, "RNA": RNA_MASS}
+    table = ({"protein": PROTEIN_MASS_MONO, "DNA": DNA_MASS_MONO, "RNA": RNA_MASS_MONO} if monoisotopic else average)[kind]
+    parts, water = (1_000_000, WATER_MONO) if monoisotopic else (10_000, WATER)
     u = F.upper(s)
     n = F.char_length(u).cast("long")
-    bonds = n if circular else n - 1
-    mass = _sum_of(u, table) - bonds * round(WATER * 10000)
+    lost = (n if circular else n - 1) * round(water * parts)
+    mass = _sum_of(u, table, parts) - lost
     if double:
         other = complement(u) if kind == "DNA" else complement_rna(u)
-        mass = mass + _sum_of(other, table) - bonds * round(WATER * 10000)
+        mass = mass + _sum_of(other, table, parts) - lost
     known = count(u, "".join(table))
-    return F.when((n > 0) & (known == n), mass / F.lit(10000.0))
+    return F.when((n > 0) & (known == n), mass / F.lit(float(parts)))
 
 
 def gravy(s: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import chemistry as C
 from helixframe.functions import sequences as S
 from helixframe.operators import editing, search, similarity
 from helixframe.plans import tables as T
@@ -134,3 +135,81 @@ def local_alignment(spark, d):
     items = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("seq"))
     refs = T.read(spark, d, "region").select(F.col("r_name").alias("ref"), F.upper("r_name").alias("ref_seq"))
     return search.smith_waterman(items, refs.collect(), "id", "seq")
+
+
+_COUNT = lambda s, c: f"(length({s}) - length(replace({s}, '{c}', '')))"
+
+
+def _tm_sql(table: str, high: float, low: float, na: float) -> str:
+    """The nearest-neighbour temperature of ``seq`` (letters A, C, T) in SQL, with the salt term on the entropy."""
+    values, swap = C.NEIGHBOURS[table], str.maketrans("ACGT", "TGCA")
+    by_pair = {p: v for stack, v in zip(C.STACKS, values["stacks"], strict=True) for p in (stack, stack.translate(swap)[::-1])}
+    sums = []
+    for k in (0, 1):
+        pairs = ", ".join(f"'{p}': {v[k]}" for p, v in by_pair.items())
+        ends = lambda e: f"CASE WHEN {e} IN ('A', 'T') THEN {values.get('end AT', (0, 0))[k]} ELSE {values.get('end GC', (0, 0))[k]} END"  # noqa: B023, E731
+        stacked = f"coalesce(list_sum(list_transform(range(1, length(seq)), lambda i: MAP {{{pairs}}}[substring(seq, CAST(i AS BIGINT), 2)])), 0)"
+        sums.append(f"({stacked} + {values.get('start', (0, 0))[k]} + {ends('left(seq, 1)')} + {ends('right(seq, 1)')})")
+    return f"CASE WHEN length(seq) > 1 THEN 10.0::DOUBLE * {sums[0]} / ({sums[1]} / 100.0::DOUBLE + 0.368::DOUBLE * (length(seq) - 1) * ln({na / 1000}::DOUBLE) + {C.GAS}::DOUBLE * ln({(high - low / 2) * 1e-9}::DOUBLE)) - 273.15::DOUBLE END"
+
+
+@query(f"WITH {SEQ} SELECT id, round({_tm_sql('DNA 1997', 25.0, 25.0, 50.0)}, 4) AS tm97, round({_tm_sql('RNA 1998', 50.0, 0.0, 100.0)}, 4) AS tm98 FROM s")
+def melting_nearest_neighbour(spark, d):
+    q = F.col("seq")
+    return order_sequences(spark, d).select("id", F.round(C.melting_neighbours(q), 4).alias("tm97"), F.round(C.melting_neighbours(q, "RNA 1998", 50.0, 0.0, na=100.0), 4).alias("tm98"))
+
+
+_GC = f"(100.0::DOUBLE * {_COUNT('seq', 'C')} / length(seq))"
+
+
+@query(f"WITH {SEQ} SELECT id, round(81.5::DOUBLE + 0.41::DOUBLE * {_GC} - 600.0::DOUBLE / length(seq) + 16.6::DOUBLE * log10(0.05::DOUBLE), 6) AS product, round(78.0::DOUBLE + 0.7::DOUBLE * {_GC} - 500.0::DOUBLE / length(seq) + 16.6::DOUBLE * log10(0.05::DOUBLE / 1.035::DOUBLE) - 2.25::DOUBLE - 3.25::DOUBLE, 6) AS solvent FROM s")
+def melting_salt_solvent(spark, d):
+    q = F.col("seq")
+    return order_sequences(spark, d).select("id", F.round(C.melting_empirical(q), 6).alias("product"), F.round(C.solvent_correction(C.melting_empirical(q, 5), dmso=3, formamide=5), 6).alias("solvent"))
+
+
+_PLACE = lambda k: f"coalesce(array_to_string(list_transform(range({k}, length(seq) + 1, 3), lambda i: substring(seq, CAST(i AS BIGINT), 1)), ''), '')"
+_SHARE = lambda x: f"round(CASE WHEN length({x}) > 0 THEN 100.0::DOUBLE * {_COUNT(x, 'C')} / length({x}) ELSE 0 END, 6)"
+
+
+@query(f"WITH {SEQ}, q AS (SELECT id, seq, {_PLACE(1)} AS a, {_PLACE(2)} AS b, {_PLACE(3)} AS c FROM s) SELECT id, {_SHARE('seq')} AS gc, {_SHARE('a')} AS gc1, {_SHARE('b')} AS gc2, {_SHARE('c')} AS gc3 FROM q")
+def gc_positions(spark, d):
+    got = order_sequences(spark, d).select("id", C.gc_by_position(F.col("seq")).alias("g"))
+    return got.select("id", *[F.round(f"g.{field}", 6).alias(name) for name, field in (("gc", "all"), ("gc1", "first"), ("gc2", "second"), ("gc3", "third"))])
+
+
+@query(f"WITH {SEQ}, u AS (SELECT substring(seq, CAST(i AS BIGINT), 3) AS codon FROM (SELECT seq, unnest(range(1, length(seq) + 1, 3)) AS i FROM s)) SELECT codon, CAST(count(*) AS BIGINT) AS n FROM u WHERE length(codon) = 3 GROUP BY 1")
+def codon_usage(spark, d):
+    return C.codon_adaptiveness(order_sequences(spark, d), "seq").where("n > 0").select("codon", "n")
+
+
+@query()
+def codon_adaptation(spark, d):
+    """Whole codons of each sequence against the usage of all of them: 64 weights are collected."""
+    rows = order_sequences(spark, d).withColumn("cds", F.left("seq", F.floor(F.char_length("seq") / 3).cast("int") * 3))
+    weights = {r.codon: r.weight for r in C.codon_adaptiveness(rows, "cds").collect()}
+    return rows.select("id", F.round(C.adaptation_index(F.col("cds"), weights), 6).alias("cai"))
+
+
+@query(f"WITH {SEQ} SELECT id, CAST(len(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, CAST(i + 1 AS BIGINT), 2) IN ('CA', 'CT'))) AS BIGINT) AS n, CAST(coalesce(list_sum(list_filter(range(0, length(seq) - 1), lambda i: substring(seq, CAST(i + 1 AS BIGINT), 2) IN ('CA', 'CT'))), 0) AS BIGINT) AS total FROM s")
+def subsequence_places(spark, d):
+    places = order_sequences(spark, d).select("id", C.find_all(F.col("seq"), "CW").alias("at"))
+    return places.select("id", F.size("at").cast("long").alias("n"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query()
+def six_frames(spark, d):
+    return order_sequences(spark, d).select("id", C.six_frames(F.col("seq")).alias("f")).select("id", "f.*")
+
+
+@query()
+def protein_profiles(spark, d):
+    """Flexibility and hydropathy in windows of nine: how many, and the highest."""
+    aa = F.col("aa")
+    got = proteins(spark, d).select("id", C.flexibility(aa).alias("flex"), C.residue_scale(aa, S.HYDROPATHY, 9, 0.4).alias("hydro"))
+    return got.select("id", F.size("flex").alias("n_flex"), F.round(F.array_max("flex"), 6).alias("flex"), F.size("hydro").alias("n_hydro"), F.round(F.array_max("hydro"), 6).alias("hydro"))
+
+
+@query()
+def sequence_crc(spark, d):
+    return order_sequences(spark, d).select("id", F.crc32(F.col("seq").cast("binary")).alias("crc32"), C.crc64(F.col("seq")).alias("crc64"))
