@@ -25,6 +25,7 @@ def query(sql: str | None = None):
 def load() -> None:
     from helixframe.plans import (  # noqa: F401
         graph_queries,
+        hit_queries,
         record_queries,
         sequence_queries,
     )
