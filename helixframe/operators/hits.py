@@ -97,7 +97,8 @@ def circular_dedup(hits: DataFrame, records: DataFrame, record: str, keys: tuple
     ``records`` has (record, length, circular).  Containment is transitive, so a hit goes
     exactly if any better one holds all of its parts, kept or not: a semi-join, no fold.
     Equal scores are ranked by ``order``.  Parts are met by cells of the record that both
-    touch at the hit's start, so pairs arise only among hits of one reference at one place.
+    touch at the hit's start (65 cells at most), so pairs arise only among hits of one
+    reference at one place.
     """
     info = records.select(record, F.col("length").alias("hx_length"), F.coalesce("circular", F.lit(False)).alias("hx_circular"))
     rank = Window.partitionBy(record, *keys).orderBy(F.col("score").desc(), *order)
@@ -105,11 +106,13 @@ def circular_dedup(hits: DataFrame, records: DataFrame, record: str, keys: tuple
     parts = wrapped(F.col("start"), F.col("end"), F.col("hx_length"), F.col("hx_circular")).alias("parts")
     cell = F.greatest(F.floor(F.col("hx_length") / 64), F.lit(1))
     ring = every.where("hx_circular").select(record, *keys, "hx_rank", parts, cell.alias("cell"))
-    held = ring.select(record, *keys, F.col("hx_rank").alias("inner"), F.col("parts").alias("small"), F.floor(F.col("parts")[0]["start"] / F.col("cell")).alias("at"))
-    cells = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(F.floor(p["start"] / F.col("cell")), F.greatest(F.floor(p["start"] / F.col("cell")), F.floor((p["end"] - 1) / F.col("cell")))))))
+    place = lambda x: F.least(F.floor(x / F.col("cell")), F.lit(64))
+    held = ring.select(record, *keys, F.col("hx_rank").alias("inner"), F.col("parts").alias("small"), place(F.col("parts")[0]["start"]).alias("at"))
+    cells = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(place(p["start"]), F.greatest(place(p["start"]), place(p["end"] - 1))))))
     holds = ring.select(record, *keys, F.col("hx_rank").alias("outer"), F.col("parts").alias("large"), F.explode(cells).alias("at"))
     inside = F.forall("small", lambda s: F.exists("large", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    met = held.join(holds, [record, *keys, "at"]).where((F.col("outer") < F.col("inner")) & inside)
+    # exploded rows are many more than their source's size suggests: never broadcast
+    met = held.join(holds.hint("merge"), [record, *keys, "at"]).where((F.col("outer") < F.col("inner")) & inside)
     gone = met.select(record, *keys, F.col("inner").alias("hx_rank")).distinct()
     return every.join(gone, [record, *keys, "hx_rank"], "left_anti").select(*hits.columns)
 
