@@ -14,7 +14,7 @@ links are reduced to a spanning forest where they are found; a bucket over ``BLO
 rows is split into pairs of blocks, so no task holds more than two blocks at a time.
 
 For larger radii no chain of equal segments is selective; ``near_copies`` then lets texts
-meet at their smallest shingle hashes, and uses the same filter and full check.
+meet at the rarest of their shingles, and uses the full Hamming check alone.
 
 Defined cases: a text without words has fingerprint zero and links like any other; fewer
 words than a shingle: the whole sequence is the shingle; a null id is its own component
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, keyed
+from helixframe.llm.common import fresh, hash_sample, keyed
 from helixframe.operators.graph import connected_components
 from helixframe.runtime import materialize
 
@@ -40,8 +40,10 @@ SEGMENTS = 5
 #: The second segment of a chain is cut into so many parts, all but one of which are equal.
 PARTS = 4
 BLOCK = 4096
-#: Shingle hashes at which a text meets others if the radius is large.
-ANCHORS = 12
+#: Bits of 256 in which fingerprints of near copies differ at most.
+RADIUS = 46
+#: Texts that are sampled to tell rare shingles from common ones, and how many of them hold a common one.
+SAMPLE, OFTEN = 2048, 4
 
 
 def shingle_hashes(raw: bytes | None, n_words: int) -> np.ndarray:
@@ -79,26 +81,20 @@ def fingerprint(h: np.ndarray, n_longs: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n_words: int, n_longs: int = 1, anchors: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, f0.., anchors): the fingerprint of every row, and its smallest shingle hashes."""
+def fingerprints(docs: DataFrame, n_words: int, n_longs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, f0..): the fingerprint of every row."""
     rows = keyed(docs, id_col, text_col).select("id", "k1", "k2", F.col("text").cast("binary").alias("text"))
     names = [f"f{k}" for k in range(n_longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.zeros((batch.num_rows, n_longs), np.uint64)
-            low: list[np.ndarray] = []
             for i, raw in enumerate(batch.column(3)):
-                h = shingle_hashes(raw.as_py(), n_words)
-                prints[i] = fingerprint(h, n_longs)
-                if anchors:
-                    low.append(np.unique(_mix(h, 99))[:anchors].view(np.int64))
+                prints[i] = fingerprint(shingle_hashes(raw.as_py(), n_words), n_longs)
             columns = [*batch.columns[:3], *(pa.array(prints[:, k].view(np.int64).copy()) for k in range(n_longs))]
-            if anchors:
-                columns.append(pa.array(low, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", *names, *(["anchors"] if anchors else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", *names])
 
-    schema = "id long, k1 long, k2 int, " + ", ".join(f"{n} long" for n in names) + (", anchors array<long>" if anchors else "")
+    schema = "id long, k1 long, k2 int, " + ", ".join(f"{n} long" for n in names)
     return rows.mapInArrow(run, schema)
 
 
@@ -231,7 +227,7 @@ def components(docs: DataFrame, n_words: int = 4, radius: int = 4, id_col: str =
     """(doc_id, fingerprint, component_id) of every row, links at ``radius`` differing bits or fewer."""
     if not 0 <= radius < SEGMENTS:
         raise ValueError(f"the ring of {SEGMENTS} segments serves a radius of 0 to {SEGMENTS - 1}")
-    prints = materialize(fingerprints(docs, n_words, 1, 0, id_col, text_col).select("id", "f0"), "fingerprints")
+    prints = materialize(fingerprints(docs, n_words, 1, id_col, text_col).select("id", "f0"), "fingerprints")
     classes = materialize(prints.where("id IS NOT NULL").groupBy("f0").agg(F.min("id").alias("first")), "classes")
     found = connected_components(links(classes, radius))
     label = classes.join(found, classes["first"] == found["node"], "left").select("f0", F.coalesce("component", "first").alias("component"))
@@ -240,55 +236,162 @@ def components(docs: DataFrame, n_words: int = 4, radius: int = 4, id_col: str =
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def _chain(radius: int, other: str, n_longs: int):
-    """The pigeonring condition and the full distance to columns ``other``, as Columns."""
-    per = 4
-    m = per * n_longs
-    parts = []
-    for k in range(n_longs):
-        x = F.col(f"f{k}").bitwiseXOR(F.col(f"{other}.f{k}"))
-        parts += [F.bit_count(F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(per)]
-    d = F.array(*parts)
-    ring = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: i)
-    chain = lambda dd: F.exists(
-        ring,
-        lambda i: (F.get(dd, i) <= radius // m)
-        & (F.get(dd, i) + F.get(dd, (i + 1) % m) <= 2 * radius // m)
-        & (F.get(dd, i) + F.get(dd, (i + 1) % m) + F.get(dd, (i + 2) % m) <= 3 * radius // m),
-    )
-    return d, chain
-
-
-def near_copies(docs: DataFrame, n_words: int = 5, radius: int = 46, n_longs: int = 4, anchors: int = ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, id, component, copies): groups of texts whose wide fingerprints are near.
-
-    A radius of 46 in 256 bits is about the distance of shingle sets of similarity 0.8 plus
-    one standard deviation.  Texts meet at shared smallest shingle hashes; in each bucket
-    every text is held against two pivots, which differ from bucket to bucket.
+def frequent_shingles(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, in order, that at least ``OFTEN`` of ``SAMPLE`` sampled texts hold, and how many do.
+
+    They only order the shingles; any order gives the same groups.
+    """
+    texts = keyed(docs, id_col, text_col).select("id", F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                h = np.unique(shingle_hashes(raw.as_py(), n_words))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    held = hash_sample(texts, F.col("id"), SAMPLE).select("text").mapInArrow(run, "h long").groupBy("h").count()
+    rows = held.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(1 << 16).collect()
+    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rarest_first(h: np.ndarray, often: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Distinct hashes in the order of all prefixes: by how many sampled texts hold them, then by value."""
+    if not len(often):
+        return h
+    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+    return h[np.lexsort((h, np.where(often[at] == h, held[at], 0)))]
+
+
+def shingle_sets(docs: DataFrame, n_words: int, n_longs: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2, c1, c2, n, f0.., prefix) of every row: its set of shingle hashes.
+
+    (c1, c2) names the set, f0.. is the set's fingerprint.  Of two sets of similarity ``percent`` or
+    more, the first n - ceil(percent n / 100) + 1 hashes of each in one order have one in common.
+    """
+    often, held = frequent_shingles(docs, n_words, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).select("id", "k1", "k2", F.col("text").cast("binary").alias("text"))
+    names = ["id", "k1", "k2", "c1", "c2", "n", *(f"f{k}" for k in range(n_longs)), "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, prints = np.zeros((batch.num_rows, 3), np.int64), np.zeros((batch.num_rows, n_longs), np.uint64)
+            prefix = []
+            for i, raw in enumerate(batch.column(3)):
+                h = np.unique(shingle_hashes(raw.as_py(), n_words))
+                c[i] = *np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64), len(h)
+                prints[i] = fingerprint(h, n_longs)
+                size = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
+                prefix.append(rarest_first(h, often, held)[:size].view(np.int64))
+            columns = [*batch.columns[:3], *(pa.array(c[:, k].copy()) for k in range(3)), *(pa.array(prints[:, k].view(np.int64).copy()) for k in range(n_longs))]
+            columns += [pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join(f"{x} {kinds.get(x, 'array<long>' if x == 'prefix' else 'long')}" for x in names))
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int, percent: int) -> np.ndarray:
+    """Which rows of x and y (label, size, fingerprint) can be links that are not made yet."""
+    ok = (x[..., 0] != y[..., 0]) & (100 * np.minimum(x[..., 1], y[..., 1]) >= percent * np.maximum(x[..., 1], y[..., 1]))
+    d = sum(np.bitwise_count((x[..., k] ^ y[..., k]).view(np.uint64)).astype(np.int16) for k in range(2, x.shape[-1]))
+    return ok & (d <= radius)
+
+
+def open_pairs(rows: DataFrame, radius: int, percent: int, n_longs: int) -> DataFrame:
+    """(a, b): all pairs of a bucket (key) that lie within the radius and in different components (label).
+
+    A bucket over ``BLOCK`` rows is dealt out as pairs of blocks, so no task holds more than two of them.
+    """
+    names = [f"f{k}" for k in range(n_longs)]
+    met = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = met.select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "label", "n", *names)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", *names)
+    order = ["key", "i", "j"]
+
+    def solve(g: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = g[0, 1] == g[0, 2]
+        p, q = (g, g) if same else (g[g[:, 3] == g[0, 1]], g[g[:, 3] == g[0, 2]])
+        step = max(1, (1 << 20) // max(1, len(q)))
+        for at in range(0, len(p), step):
+            i, j = np.nonzero(_near(p[at : at + step, None, 5:], q[None, :, 5:], radius, percent))
+            a, b = p[i + at, 4], q[j, 4]
+            if same:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            t = t if held is None else np.concatenate([held, t])
+            if not len(t):
+                continue
+            cut = np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(axis=1)) + 1
+            at = [0, *cut.tolist()]
+            for x, y in zip(at, at[1:], strict=False):
+                yield from solve(t[x:y])
+            held = t[at[-1] :]  # the last group may go on in the next batch
+        if held is not None and len(held):
+            yield from solve(held)
+
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, n_words: int = 5, radius: int = RADIUS, n_longs: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, id, component, copies, kept): groups of texts with shingle sets of similarity ``percent`` or more.
+
+    Two such texts share a shingle among the rarest of each, and so meet in its bucket.  First
+    every text is held against one pivot of each of its buckets; in buckets that are not yet one
+    component, all pairs of different components follow.  Pairs are linked if their wide
+    fingerprints differ in ``radius`` bits at most.  ``component`` is the group's smallest id.
     """
     names = [f"f{k}" for k in range(n_longs)]
-    prints = materialize(fingerprints(docs, n_words, n_longs, anchors, id_col, text_col), "fingerprints")
-    one = F.struct(*names, "first")
-    classes = prints.where("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("first"), F.min_by("anchors", "id").alias("anchors"))
-    classes = materialize(classes, "classes")
-    rows = classes.select(*names, "first", F.explode("anchors").alias("anchor"))
-    lot = F.xxhash64("first", "anchor")
-    pivots = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min_by(one, lot).alias("p"), F.max_by(one, lot).alias("q")).where("n > 1").drop("n")
-    met = rows.join(materialize(pivots, "pivots"), "anchor")
-    both = met.select(*names, "first", F.explode(F.array("p", "q")).alias("o")).where("first <> o.first")
-    d, chain = _chain(radius, "o", n_longs)
-    near = both.select("first", F.col("o.first").alias("other"), d.alias("d"))
-    near = near.where(chain(F.col("d"))).where(F.aggregate("d", F.lit(0), lambda a, x: a + x) <= radius)
-    found = connected_components(near.select(F.col("first").alias("src"), F.col("other").alias("dst")))
-    label = classes.join(found, classes["first"] == found["node"], "left").select(*names, F.coalesce("component", "first").alias("component"))
-    out = prints.join(materialize(label, "labels"), names, "left")
-    return out.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("component").alias("component"), F.count(F.lit(1)).alias("copies"))
+    prints = materialize(shingle_sets(docs, n_words, n_longs, percent, id_col, text_col), "fingerprints")
+    first = lambda x: F.first(x).alias(x)
+    classes = prints.where("id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("id", "k1", "k2")).alias("one"), *map(first, ["n", *names, "prefix"]))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "one.*", "n", *names, "prefix")
+    classes = materialize(classes, "classes")  # from here on a node has one number
+
+    keys = classes.select("node", F.explode("prefix").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    # buckets of the same texts are one
+    buckets = materialize(sizes.where("m > 1").groupBy("m", "pivot", "x", "y").agg(F.min("key").alias("key")), "buckets")
+    met = materialize(keys.join(buckets.select("key", "m", "pivot").hint("merge"), "key"), "members")
+
+    look = classes.select("node", F.struct("n", *names).alias("z"))
+    star = met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(look.select(F.col("node").alias("a"), F.col("z").alias("p")).hint("merge"), "a").join(look.select(F.col("node").alias("b"), F.col("z").alias("q")).hint("merge"), "b")
+    apart = sum((F.bit_count(F.col(f"p.{k}").bitwiseXOR(F.col(f"q.{k}"))) for k in names), F.lit(0))
+    star = star.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")).where(apart <= radius)
+    linked = materialize(star.select("a", "b"), "links")
+    found = materialize(connected_components(linked, "a", "b"), "found")
+
+    rows = met.select("key", "node", "m").join(found.hint("merge"), "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("label"))
+    rows = materialize(rows, "labelled")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rows = rows.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("node", "n", *names).hint("merge"), "node")
+    more = materialize(open_pairs(rows, radius, percent, n_longs), "open")
+    if not more.isEmpty():
+        found = materialize(connected_components(linked.unionByName(more), "a", "b"), "found")
+
+    label = classes.select("node", "c1", "c2", "id", "k1", "k2").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    label = materialize(label, "labels")
+    stays = label.groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("best"))
+    label = label.select("c1", "c2", "root").join(stays.hint("merge"), "root").select("c1", "c2", "best")
+    out = prints.select("id", "k1", "k2", "c1", "c2").join(label.hint("merge"), ["c1", "c2"], "left")
+    kept = F.col("id").isNull() | ((F.col("id") == F.col("best.id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2")))
+    out = out.select("id", "k1", "k2", F.when(F.col("id").isNotNull(), F.col("best.id")).alias("component"), kept.alias("kept"))
+    return out.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("component").alias("component"), F.count(F.lit(1)).alias("copies"), F.first("kept").alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the near copies: of each group the smallest id stays, once; rows without id stay."""
     groups = near_copies(docs, id_col=id_col, text_col=text_col, **how)
-    keep = materialize(groups.where("id IS NULL OR id = component").select("k1", "k2", "copies"), "keep")
+    keep = materialize(groups.where("kept").select("k1", "k2", "copies"), "keep")
     k1, k2 = fresh(docs, "hx_k1", "hx_k2")
     ident = F.col(f"`{id_col}`").cast("long")
     rows = docs.withColumns({k1: F.coalesce(ident, F.lit(0)), k2: F.hash(ident, F.col(f"`{text_col}`"))})

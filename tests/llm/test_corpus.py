@@ -225,6 +225,52 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.where("1 = 0")).count() == 0
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_brute_force(rows, percent=80):
+    """The smallest id of each component of all pairs at the bound."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[top(k)] = min(best.get(top(k), i), i)
+    return sorted(best.values())
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_keep_one_in_crowded_buckets(spark, monkeypatch, block):
+    """Near copies whose shingles nearly all stand in passages of many documents."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(4000)}"
+    passages = [[word() for _ in range(40)] for _ in range(40)]
+    rows = []
+    for k in range(240):
+        text = [w for p in rng.sample(passages, 6) for w in p]
+        own = [word() for _ in range(25)] if k % 2 else []
+        for c in range(1 + (k % 3 == 0)):
+            rows.append((1000 - len(rows), " ".join([*text, *own, *([f"end{c}"] if c else [])])))
+    rng.shuffle(rows)
+    want = kept_by_brute_force(rows)
+    assert len(want) <= len(rows) - 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
 def test_quality_statistics(docs):
     def stats(t):
         import re
