@@ -271,6 +271,20 @@ def test_keep_one_in_crowded_buckets(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
 
 
+def test_keep_one_decides_by_shingle_sets(spark):
+    """Pairs on both sides of similarity 0.8, each of words of its own, and chains of them."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(300):
+        n = rng.choice([9, 30, 120, 400])
+        base = [f"p{k}-{x}" for x in range(n)]
+        cut = round(n * rng.uniform(0.02, 0.3))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[cut:], *(f"q{k}-{x}" for x in range(cut // 4))]))]
+    want = kept_by_brute_force(rows)
+    assert len(rows) * 6 // 10 < len(want) < len(rows) * 9 // 10
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_quality_statistics(docs):
     def stats(t):
         import re
