@@ -25,19 +25,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_key(ident: Column, text: Column) -> tuple[Column, Column]:
+    """The row key (k1, k2): 128 bits of the text for rows without id, the id and 64 bits for others."""
+    return F.coalesce(ident, F.xxhash64(F.lit(1), text)), F.xxhash64(ident, text)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns id, text and the row key (k1, k2).
 
-    The key tells apart rows that share an id, or have none, but not their texts; rows
-    that repeat in full share the key, and so the decisions.
+    The key tells apart the texts of rows that share an id, or have none; rows that repeat
+    in full share the key, and so the decisions.
     """
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    return docs.select(
-        ident.alias("id"),
-        text.alias("text"),
-        F.coalesce(ident, F.lit(0)).alias("k1"),
-        F.hash(ident, text).alias("k2"),
-    )
+    k1, k2 = row_key(ident, text)
+    return docs.select(ident.alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

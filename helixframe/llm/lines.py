@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE_CHARS, ascii_lower, fresh, keyed
+from helixframe.llm.common import SPACE_CHARS, ascii_lower, fresh, keyed, row_key
 from helixframe.runtime import discard, materialize
 
 MIN_CHARS = 20
@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept, n, dropped, k1, k2, drop, ls = fresh(docs, "hx_kept", "hx_lines", "hx_dropped", "hx_k1", "hx_k2", "hx_drop", "hx_ls")
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     found = repeated_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("drop").alias(drop))
-    rows = docs.withColumns({k1: F.coalesce(ident, F.lit(0)), k2: F.hash(ident, text)}).join(found, [k1, k2], "left")
+    rows = docs.withColumns(dict(zip((k1, k2), row_key(ident, text), strict=True))).join(found, [k1, k2], "left")
     rows = rows.withColumn(ls, split_lines(text))
     # set difference of line numbers: linear also in texts of very many lines
     left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drop))

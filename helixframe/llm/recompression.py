@@ -187,11 +187,11 @@ def _window_rows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
                 a, b = RollingHash(names).of(at, at + width), RollingHash(mix(names + U(0x71D67FFFEDA60000))).of(at, at + width)
                 m = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, k1)), pa.array(np.full(m, k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
+                    [pa.array(np.full(m, k1)), pa.array(np.full(m, k2)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
                     names=["k1", "k2", "s", "n", "a", "b"],
                 )
 
-    return rows.mapInArrow(run, "k1 long, k2 int, s int, n int, a long, b long")
+    return rows.mapInArrow(run, "k1 long, k2 long, s int, n int, a long, b long")
 
 
 def _compare(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from helixframe.llm.common import keyed
 from helixframe.llm.textbuf import slices
 from helixframe.runtime import discard, materialize
 
-SPANS = "k1 long, k2 int, s1 int, s2 int, at int, name long, span long"
+SPANS = "k1 long, k2 long, s1 int, s2 int, at int, name long, span long"
 #: For a run of texts: (text, s1, s2, anchor, name, span) of each span, as arrays.
 Finder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 #: Bytes of text that are processed as one.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, hash_sample, keyed
+from helixframe.llm.common import fresh, hash_sample, keyed, row_key
 from helixframe.operators.graph import connected_components
 from helixframe.runtime import discard, materialize
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, n_words: int, n_longs: int = 1, id_col: str =
             columns = [*batch.columns[:3], *(pa.array(prints[:, k].view(np.int64).copy()) for k in range(n_longs))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", *names])
 
-    schema = "id long, k1 long, k2 int, " + ", ".join(f"{n} long" for n in names)
+    schema = "id long, k1 long, k2 long, " + ", ".join(f"{n} long" for n in names)
     return rows.mapInArrow(run, schema)
 
 
@@ -434,7 +434,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keep = materialize(groups.where("kept").select("k1", "k2", "copies"), "keep")
     k1, k2 = fresh(docs, "hx_k1", "hx_k2")
     ident = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumns({k1: F.coalesce(ident, F.lit(0)), k2: F.hash(ident, F.col(f"`{text_col}`"))})
+    rows = docs.withColumns(dict(zip((k1, k2), row_key(ident, F.col(f"`{text_col}`")), strict=True)))
     # what is kept grows with the corpus: it is never broadcast, at any size
     out = rows.join(keep.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).hint("merge"), [k1, k2], "left_semi")
     if not keep.where("copies > 1").isEmpty():

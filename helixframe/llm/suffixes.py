@@ -249,18 +249,18 @@ def _cut_spans(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     names = ["name", "k1", "k2", "s1", "at", "n", "before", "after"]
 
     def _batch(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "name long, k1 long, k2 int, s1 int, at int, n int, before binary, after binary")
+    return rows.mapInArrow(run, "name long, k1 long, k2 long, s1 int, at int, n int, before binary, after binary")
 
 
 def _sorted_shards(width: int, cut: DataFrame) -> DataFrame:
     """(k1, k2, s1, s2): window starts that the sort of each shard shows to repeat."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("s1", pa.int32()), ("s2", pa.int32())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("s1", pa.int32()), ("s2", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -286,7 +286,7 @@ def _sorted_shards(width: int, cut: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return cut.repartition("name").sortWithinPartitions("name").mapInArrow(run, "k1 long, k2 int, s1 int, s2 int")
+    return cut.repartition("name").sortWithinPartitions("name").mapInArrow(run, "k1 long, k2 long, s1 int, s2 int")
 
 
 def _hot_windows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -309,11 +309,11 @@ def _hot_windows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
                 a, b = (RollingHash(mix(g + U(c))).of(at, at + width - 7) for c in (0x3C79AC492BA7B653, 0x1D8E4E27C47D124F))
                 m = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, k1)), pa.array(np.full(m, k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
+                    [pa.array(np.full(m, k1)), pa.array(np.full(m, k2)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
                     names=["k1", "k2", "s", "n", "a", "b"],
                 )
 
-    return rows.mapInArrow(run, "k1 long, k2 int, s int, n int, a long, b long")
+    return rows.mapInArrow(run, "k1 long, k2 long, s int, n int, a long, b long")
 
 
 def _compare(width: int, shard_spans: int, spans: DataFrame, texts: DataFrame) -> DataFrame:

@@ -285,6 +285,22 @@ def test_keep_one_decides_by_shingle_sets(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_row_keys_tell_texts_apart(spark):
+    """Texts without id, and texts of one id, whose 32-bit hashes are the same; (k1, k2) of ids and texts is wide."""
+    n = 400_000
+    texts = spark.range(n).select(F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    for ident in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        df = texts.withColumn("doc_id", ident)
+        assert common.keyed(df, "doc_id", "text").select("k1", "k2").distinct().count() == n
+    null = texts.withColumn("doc_id", F.lit(None).cast("long"))
+    twins = null.withColumn("h", F.hash("doc_id", "text")).groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").limit(1).collect()[0]
+    line = "this long line stands in many of them"
+    rows = [(None, twins.a), (None, twins.b), (None, twins.a), (5, line), (6, line + "\n"), (7, "x\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(df).collect()).count(twins.b) == 1
+    assert counted((r.text, r.hx_kept) for r in lines.dedup_lines(df).where("doc_id IS NULL").collect()) == counted((t, t) for i, t in rows if i is None)
+
+
 def test_quality_statistics(docs):
     def stats(t):
         import re
