@@ -51,16 +51,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, free: bool = True) -> DataFrame:
+def materialize(df: DataFrame, label: str, free: bool = True, by: str | None = None) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: the result has no lineage.
 
     The shuffle files behind ``df`` become garbage at once; with ``free`` they are released
     here, so that the peak of disk use is that of the largest phase and not of their sum.
-    Rounds over tables that shrink do without.
+    Rounds over tables that shrink do without.  ``by`` is a column that gets a folder for each value.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if free:
