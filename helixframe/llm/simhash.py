@@ -14,8 +14,9 @@ links are reduced to a spanning forest where they are found; a bucket over ``BLO
 rows is split into pairs of blocks, so no task holds more than two blocks at a time.
 
 For larger radii no chain of equal segments is selective; ``near_copies`` then lets texts
-meet at the rarest of their shingles, passes over pairs whose wide fingerprints are far
-apart, and decides the others by the shingle sets themselves.
+meet at the rarest of their shingles.  The pigeonring filter prunes what meets there, then
+the full Hamming check of wide fingerprints, then the heads of the shingle sets; the sets
+themselves decide.
 
 Defined cases: a text without words has fingerprint zero and links like any other; fewer
 words than a shingle: the whole sequence is the shingle; a null id is its own component
@@ -46,6 +47,8 @@ BLOCK = 4096
 RADIUS = 76
 #: Texts that are sampled to tell rare shingles from common ones, and how many of them hold a common one.
 SAMPLE, OFTEN = 2048, 4
+#: So many of a text's rarest shingles go with it into a bucket (as 32 bits) and tell apart what is nearly alike.
+HEAD = 256
 
 
 def shingle_hashes(raw: bytes | None, n_words: int) -> np.ndarray:
@@ -267,38 +270,94 @@ def rarest_first(h: np.ndarray, often: np.ndarray, held: np.ndarray) -> np.ndarr
 
 
 def shingle_sets(docs: DataFrame, n_words: int, n_longs: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, k1, k2, c1, c2, n, f0.., prefix) of every row: its set of shingle hashes.
+    """(id, k1, k2, c1, c2, n, f0.., prefix, head) of every row: its set of shingle hashes.
 
     (c1, c2) names the set, f0.. is the set's fingerprint.  Of two sets of similarity ``percent`` or
     more, the first n - ceil(percent n / 100) + 1 hashes of each in one order have one in common.
     """
     often, held = frequent_shingles(docs, n_words, id_col, text_col)
     rows = keyed(docs, id_col, text_col).select("id", "k1", "k2", F.col("text").cast("binary").alias("text"))
-    names = ["id", "k1", "k2", "c1", "c2", "n", *(f"f{k}" for k in range(n_longs)), "prefix"]
+    names = ["id", "k1", "k2", "c1", "c2", "n", *(f"f{k}" for k in range(n_longs)), "prefix", "head"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, prints = np.zeros((batch.num_rows, 3), np.int64), np.zeros((batch.num_rows, n_longs), np.uint64)
-            prefix = []
+            prefix, head = [], []
             for i, raw in enumerate(batch.column(3)):
                 h = np.unique(shingle_hashes(raw.as_py(), n_words))
                 c[i] = *np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64), len(h)
                 prints[i] = fingerprint(h, n_longs)
                 size = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
-                prefix.append(rarest_first(h, often, held)[:size].view(np.int64))
+                h = rarest_first(h, often, held)
+                prefix.append(h[:size].view(np.int64))
+                head.append(h[:HEAD].astype(np.uint32).tobytes())
             columns = [*batch.columns[:3], *(pa.array(c[:, k].copy()) for k in range(3)), *(pa.array(prints[:, k].view(np.int64).copy()) for k in range(n_longs))]
-            columns += [pa.array(prefix, pa.list_(pa.int64()))]
+            columns += [pa.array(prefix, pa.list_(pa.int64())), pa.array(head, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, ", ".join(f"{x} {kinds.get(x, 'array<long>' if x == 'prefix' else 'long')}" for x in names))
+    kinds = {"prefix": "array<long>", "head": "binary"}
+    return rows.mapInArrow(run, ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))
 
 
-def _near(x: np.ndarray, y: np.ndarray, radius: int, percent: int) -> np.ndarray:
-    """Which rows of x and y (label, size, fingerprint) can be links that are not made yet."""
-    ok = (x[..., 0] != y[..., 0]) & (100 * np.minimum(x[..., 1], y[..., 1]) >= percent * np.maximum(x[..., 1], y[..., 1]))
-    d = sum(np.bitwise_count((x[..., k] ^ y[..., k]).view(np.uint64)).astype(np.int16) for k in range(2, x.shape[-1]))
-    return ok & (d <= radius)
+def _ring(d: np.ndarray, radius: int, m: int = 16) -> np.ndarray:
+    """Pigeonring filter: which rows of differing bits (.., words) have a chain of segments within its budgets.
+
+    The words' 16-bit lanes are ``m`` segments on a ring.  A row with ``radius`` differences or fewer has a
+    segment from which every run of l segments differs in l * radius / m bits at most.
+    """
+    lanes = np.bitwise_count(np.ascontiguousarray(d).view(np.uint16)).astype(np.int32)
+    cumulative, ok = lanes.copy(), m * lanes <= radius
+    for n in range(1, m):
+        if not ok.any():
+            break
+        cumulative += np.roll(lanes, -n, axis=-1)
+        ok &= m * cumulative <= (n + 1) * radius
+    return ok.any(axis=-1)
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of rows of x and y (label, size, place of the bucket's shingle, fingerprint) that can be open links.
+
+    Rarest first, two sets have nothing in common before the first shingle they share, and so at most
+    that one and what follows it in either.
+    """
+    a, b = x[:, None], y[None, :]
+    most = 1 + np.minimum(a[..., 1] - 1 - a[..., 2], b[..., 1] - 1 - b[..., 2])
+    i, j = np.nonzero((a[..., 0] != b[..., 0]) & ((100 + percent) * most >= percent * (a[..., 1] + b[..., 1])))
+    got = []
+    for at in range(0, len(i), 1 << 17):
+        p, q = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+        d = (x[p, 3:] ^ y[q, 3:]).view(np.uint64)
+        chained = _ring(d, radius, 4 * d.shape[1])
+        p, q, d = p[chained], q[chained], d[chained]
+        close = np.bitwise_count(d).sum(axis=1, dtype=np.int32) <= radius
+        got.append((p[close], q[close]))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (none, none)
+
+
+def _heads_meet(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows x and y can have ``percent`` in common, by their heads (32-bit hashes, rarest first).
+
+    All but c of a set of size n are common, so of its first h at least h - c, which are the first of the
+    common ones in the other set as well.
+    """
+    need = -(-percent * (x[:, 1] + y[:, 1]) // (100 + percent))
+    sizes = [np.fromiter(map(len, h), np.int64, len(h)) // 4 for h in (hx, hy)]
+    least = np.minimum(sizes[0] - (x[:, 1] - need), sizes[1] - (y[:, 1] - need))
+    ok = np.ones(len(x), bool)
+    todo = np.flatnonzero(least > 0)
+    for at in range(0, len(todo), 4096):
+        k = todo[at : at + 4096]
+        wide = int(max(sizes[0][k].max(), sizes[1][k].max()))
+        both = np.empty((len(k), 2 * wide), np.int64)
+        for side, (h, size) in enumerate(zip((hx, hy), sizes, strict=True)):
+            own = both[:, side * wide : (side + 1) * wide]
+            own[:] = np.arange(wide) + ((side + 1) << 32)  # beyond all hashes, and not the other side's
+            own[np.arange(wide) < size[k, None]] = np.frombuffer(b"".join(h[k]), np.uint32)
+        both.sort(axis=1)
+        ok[k] = (both[:, 1:] == both[:, :-1]).sum(axis=1) >= least[k]
+    return ok
 
 
 def open_pairs(rows: DataFrame, radius: int, percent: int, n_longs: int) -> DataFrame:
@@ -309,36 +368,41 @@ def open_pairs(rows: DataFrame, radius: int, percent: int, n_longs: int) -> Data
     names = [f"f{k}" for k in range(n_longs)]
     met = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = met.select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "label", "n", *names)
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", *names)
+    dealt = met.select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "label", "n", "pos", *names, "head")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "pos", *names, "head")
     order = ["key", "i", "j"]
 
-    def solve(g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(g: np.ndarray, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
         same = g[0, 1] == g[0, 2]
-        p, q = (g, g) if same else (g[g[:, 3] == g[0, 1]], g[g[:, 3] == g[0, 2]])
+        every = np.arange(len(g))
+        p, q = (every, every) if same else (np.flatnonzero(g[:, 3] == g[0, 1]), np.flatnonzero(g[:, 3] == g[0, 2]))
         step = max(1, (1 << 20) // max(1, len(q)))
         for at in range(0, len(p), step):
-            i, j = np.nonzero(_near(p[at : at + step, None, 5:], q[None, :, 5:], radius, percent))
-            a, b = p[i + at, 4], q[j, 4]
+            i, j = _near(g[p[at : at + step], 5:], g[q, 5:], radius, percent)
+            i, j = p[i + at], q[j]
             if same:
-                a, b = a[a < b], b[a < b]
+                i, j = i[i < j], j[i < j]
+            ok = _heads_meet(g[i, 5:], g[j, 5:], heads[i], heads[j], percent)
+            a, b = g[i[ok], 4], g[j[ok], 4]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            t = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            t = t if held is None else np.concatenate([held, t])
+            t = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:-1]])
+            h = np.array([*batch.columns[-1].to_pylist(), None], object)[:-1]
+            if held is not None:
+                t, h = np.concatenate([held[0], t]), np.concatenate([held[1], h])
             if not len(t):
                 continue
             cut = np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(axis=1)) + 1
             at = [0, *cut.tolist()]
             for x, y in zip(at, at[1:], strict=False):
-                yield from solve(t[x:y])
-            held = t[at[-1] :]  # the last group may go on in the next batch
-        if held is not None and len(held):
-            yield from solve(held)
+                yield from solve(t[x:y], h[x:y])
+            held = t[at[-1] :], h[at[-1] :]  # the last group may go on in the next batch
+        if held is not None and len(held[0]):
+            yield from solve(*held)
 
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
@@ -380,40 +444,43 @@ def near_copies(docs: DataFrame, n_words: int = 5, radius: int = RADIUS, n_longs
     """(k1, k2, id, component, copies, kept): groups of texts with shingle sets of similarity ``percent`` or more.
 
     Two such texts share a shingle among the rarest of each, and so meet in its bucket.  First
-    every text is held against the nearest pivot of its buckets; in buckets that are not yet one
-    component, all pairs of different components follow.  Pairs whose wide fingerprints differ in
-    over ``radius`` bits are passed over.  ``component`` is the group's smallest id.
+    every text is held against one pivot, that which it meets most often; in buckets that are not yet
+    one component, all pairs of different components follow.  There the pigeonring filter prunes by
+    chains of 16-bit segments before the full Hamming check, and pairs whose wide fingerprints differ
+    in over ``radius`` bits are passed over.  ``component`` is the group's smallest id.
     """
     names, texts = [f"f{k}" for k in range(n_longs)], keyed(docs, id_col, text_col)
     prints = materialize(shingle_sets(docs, n_words, n_longs, percent, id_col, text_col), "fingerprints")
     first = lambda x: F.first(x).alias(x)
-    classes = prints.where("id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("id", "k1", "k2")).alias("one"), *map(first, ["n", *names, "prefix"]))
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "one.*", "n", *names, "prefix")
+    classes = prints.where("id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("id", "k1", "k2")).alias("one"), *map(first, ["n", *names, "prefix", "head"]))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "one.*", "n", *names, "prefix", "head")
     classes = materialize(classes, "classes")  # from here on a node has one number
     wide, prints = prints, materialize(prints.select("id", "k1", "k2", "c1", "c2"), "rows")
     discard(wide)
 
-    keys = classes.select("node", F.explode("prefix").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    # buckets of the same texts are one
-    buckets = materialize(sizes.where("m > 1").groupBy("m", "pivot", "x", "y").agg(F.min("key").alias("key")), "buckets")
+    keys = classes.select("node", F.posexplode("prefix").alias("pos", "key"))
+    one = F.min(F.struct("node", "pos")).alias("one")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), one, F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    # buckets of the same texts are one, that of the shingle which comes first in all of them
+    sizes = sizes.where("m > 1").select("key", "m", F.col("one.node").alias("pivot"), F.col("one.pos").alias("pos"), "x", "y")
+    buckets = materialize(sizes.groupBy("m", "pivot", "x", "y").agg(F.min_by("key", "pos").alias("key")), "buckets")
     met = materialize(keys.join(buckets.select("key", "m", "pivot").hint("merge"), "key"), "members")
     wide, classes = classes, materialize(classes.drop("prefix"), "classes")
     discard(wide)
 
+    # a text's pivot is the one it meets in most buckets: one row for each text, however crowded they are
+    meets = met.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    star = meets.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("a")).select("a", F.col("node").alias("b"))
     look = classes.select("node", F.struct("n", *names).alias("z"))
-    star = met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(look.select(F.col("node").alias("a"), F.col("z").alias("p")).hint("merge"), "a").join(look.select(F.col("node").alias("b"), F.col("z").alias("q")).hint("merge"), "b")
-    apart = sum((F.bit_count(F.col(f"p.{k}").bitwiseXOR(F.col(f"q.{k}"))) for k in names), F.lit(0))
-    star = star.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")).select("a", "b", apart.alias("d")).where(F.col("d") <= radius)
-    star = star.groupBy("b").agg(F.min(F.struct("d", "a")).alias("o")).select(F.col("o.a").alias("a"), "b")
+    star = star.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")).select("a", "b")
     linked = alike(materialize(star, "stars"), classes, texts, n_words, percent)
     found = materialize(connected_components(linked, "a", "b"), "found")
 
-    rows = met.select("key", "node", "m").join(found.hint("merge"), "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("label"))
+    rows = met.select("key", "node", "pos", "m").join(found.hint("merge"), "node", "left").select("key", "node", "pos", "m", F.coalesce("component", "node").alias("label"))
     rows = materialize(rows, "labelled")
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = rows.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("node", "n", *names).hint("merge"), "node")
+    rows = rows.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("node", "n", *names, "head").hint("merge"), "node")
     more = materialize(open_pairs(rows, radius, percent, n_longs), "open")
     if not more.isEmpty():
         found = materialize(connected_components(linked.unionByName(alike(more, classes, texts, n_words, percent)), "a", "b"), "found")
@@ -429,14 +496,14 @@ def near_copies(docs: DataFrame, n_words: int = 5, radius: int = RADIUS, n_longs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the near copies: of each group the smallest id stays, once; rows without id stay."""
+    """``docs`` without the near copies: of each group the smallest id stays, once; all rows without id stay."""
     groups = near_copies(docs, id_col=id_col, text_col=text_col, **how)
     keep = materialize(groups.where("kept").select("k1", "k2", "copies"), "keep")
-    k1, k2 = fresh(docs, "hx_k1", "hx_k2")
+    k1, k2, own = fresh(docs, "hx_k1", "hx_k2", "hx_own")
     ident = F.col(f"`{id_col}`").cast("long")
     rows = docs.withColumns(dict(zip((k1, k2), row_key(ident, F.col(f"`{text_col}`")), strict=True)))
     # what is kept grows with the corpus: it is never broadcast, at any size
     out = rows.join(keep.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).hint("merge"), [k1, k2], "left_semi")
     if not keep.where("copies > 1").isEmpty():
-        out = out.dropDuplicates([k1, k2])
+        out = out.withColumn(own, F.when(ident.isNull(), F.monotonically_increasing_id())).dropDuplicates([k1, k2, own]).drop(own)
     return out.drop(k1, k2)
