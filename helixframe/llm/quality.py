@@ -30,8 +30,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "bangs", "line_words", "variety", "digits", "pipes", "stops", "word_count")
 
 
-def statistics(docs: DataFrame, text_col: str = "text", wide: bool = True) -> DataFrame:
-    """Adds STATS (long) and, if ``wide``, the ratios in FEATURES (double) to ``docs``.
+def statistics(docs: DataFrame, text_col: str = "text", features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Adds STATS (long) and the ratios named in ``features`` (double) to ``docs``.
 
     A column of ``docs`` that has one of those names is replaced.
     """
@@ -55,27 +55,25 @@ def statistics(docs: DataFrame, text_col: str = "text", wide: bool = True) -> Da
     again = F.size(F.array_distinct(h)) < F.size(h)
     ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     e = barrier(e, {"n_repeat_words": F.when(again, let(ordered, _covered)).otherwise(0).cast("long")}).drop(h)
-    if wide:
-        some = lambda x: F.greatest(x, F.lit(1)).cast("double")
-        count = lambda p: F.regexp_count(text, F.lit(p))
-        nw, nc, nl = some(F.col("n_words")), some(F.col("word_chars")), some(F.size(ls))
-        e = barrier(
-            e,
-            {
-                "symbols": F.col("n_symbols") / nc,
-                "dup_lines": F.col("n_dup_lines") / nl,
-                "repeats": F.col("n_repeat_words") / nw,
-                "word_length": F.col("word_chars") / nw,
-                "upper": count("[A-Z]") / nc,
-                "bangs": count("!") / nw,
-                "line_words": F.col("n_words") / nl,
-                "variety": F.size(F.array_distinct(w)) / nw,
-                "digits": count("[0-9]") / nc,
-                "pipes": count(r"[|]") / nw,
-                "stops": count("[.]") / nw,
-                "word_count": F.col("n_words").cast("double"),
-            },
-        )
+    some = lambda x: F.greatest(x, F.lit(1)).cast("double")
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    nw, nc, nl = some(F.col("n_words")), some(F.col("word_chars")), some(F.size(ls))
+    ratios = {
+        "symbols": F.col("n_symbols") / nc,
+        "dup_lines": F.col("n_dup_lines") / nl,
+        "repeats": F.col("n_repeat_words") / nw,
+        "word_length": F.col("word_chars") / nw,
+        "upper": count("[A-Z]") / nc,
+        "bangs": count("!") / nw,
+        "line_words": F.col("n_words") / nl,
+        "variety": F.size(F.array_distinct(w)) / nw,
+        "digits": count("[0-9]") / nc,
+        "pipes": count(r"[|]") / nw,
+        "stops": count("[.]") / nw,
+        "word_count": F.col("n_words").cast("double"),
+    }
+    if features:
+        e = barrier(e, {f: ratios[f] for f in features})
     return e.drop(w, ls)
 
 
@@ -128,6 +126,11 @@ class DecisionList:
             out = F.when(cond, F.lit(False)) if out is None else out.when(cond, F.lit(False))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
+    def features(self) -> tuple[str, ...]:
+        """What the rules look at: nothing else need be computed."""
+        used = {lit.feature for rule in self.rules for lit in rule}
+        return tuple(f for f in FEATURES if f in used)
+
     def rejects(self, row: dict) -> bool:
         return any(all(lit.holds(row) for lit in rule) for rule in self.rules)
 
@@ -222,5 +225,5 @@ def hash_order(ident: int) -> int:
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """``docs`` with STATS, base_failed and kept."""
     failed, verdict = F.coalesce(base_failed(), F.lit(True)), rules.kept()
-    out = statistics(docs.select([c for c in docs.columns if c.lower() not in ("base_failed", "kept")]), text_col)
+    out = statistics(docs.select([c for c in docs.columns if c.lower() not in ("base_failed", "kept")]), text_col, rules.features())
     return out.withColumns({"base_failed": failed, "kept": ~failed & verdict}).drop(*FEATURES)
