@@ -39,7 +39,7 @@ class Mix:
     budget_percent: int = 90
     max_epochs: int = 2
     seed: str = "mix-1"
-    bucket_digits: int = 3
+    bucket_rows: int = 4096
 
 
 def domain_of(source: Column, groups: int = 4) -> Column:
@@ -94,6 +94,30 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return shared.select(*LEVELS, "tokens", "budget")
 
 
+def _cutoffs(some: DataFrame, bucket_rows: int) -> DataFrame:
+    """(leaf, cutoff): the last h, in order, before which the leaf's rows (h, n) do not fill ``rest``.
+
+    The order's hexadecimal digits are searched two at a time: 256 sums for each leaf tell the
+    bucket in which the budget ends, and only that bucket is searched by its next two digits,
+    until no bucket has over ``bucket_rows`` rows.  No task sorts more of a leaf than that.
+    """
+    keys, digits = list(LEVELS), 2
+    open_rows = some.withColumn("before", F.lit(0).cast("long"))
+    order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        sums = open_rows.groupBy(*keys, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        ends = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0))).where("before < rest AND before + n >= rest")
+        ends = materialize(ends.select(*keys, "bucket", "before", "rows"), "mix-ends", free=False)
+        most = ends.agg(F.max("rows")).first()[0] or 0
+        inside = some.withColumn("bucket", F.substring("h", 1, digits)).join(ends.drop("rows"), [*keys, "bucket"]).drop("bucket")
+        if most <= bucket_rows or digits >= 32:
+            break
+        open_rows, digits = inside, digits + 2
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    inside = inside.withColumn("upto", F.col("before") + F.coalesce(upto, F.lit(0)))
+    return inside.where("upto < rest").groupBy(*keys).agg(F.max("h").alias("cutoff"))
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
     """The chosen rows of ``docs`` with hx_domain, hx_lang, hx_source, hx_tokens and hx_epoch (from 1)."""
     none = F.lit("none")
@@ -112,15 +136,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     plan = materialize(plan.withColumns({"whole": F.expr("CAST(budget DIV tokens AS INT)"), "rest": F.expr("budget % tokens")}), "mix-plan")
     order = lambda ident, epoch: F.md5(F.concat_ws(":", F.lit(mix.seed), epoch.cast("string"), F.coalesce(ident, F.lit("null"))))
     some = small.join(plan.where("rest > 0"), list(LEVELS)).withColumn("h", order(F.col("ident"), F.col("whole") + 1))
-    some = some.withColumn("bucket", F.substring("h", 1, mix.bucket_digits))
-    # the bucket of the order in which the leaf's budget ends: a prefix sum over buckets, then within one
-    sums = some.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
-    run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).where("before < rest AND before + n >= rest").select(*LEVELS, "bucket", "before")
-    within = Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*LEVELS, "h")
-    last = some.join(ends, [*LEVELS, "bucket"]).withColumn("upto", F.sum("n").over(within)).withColumn("tie", F.sum("n").over(same))
-    cutoff = last.where(F.col("before") + F.col("upto") - F.col("tie") < F.col("rest")).groupBy(*LEVELS).agg(F.max("h").alias("cutoff"))
+    # rows that tie are one
+    some = materialize(some.groupBy(*LEVELS, "h").agg(F.sum("n").alias("n"), F.max("rest").alias("rest")), "mix-order")
+    cutoff = _cutoffs(some, mix.bucket_rows)
     leaf = plan.select(*LEVELS, "whole").join(cutoff, list(LEVELS), "left").where("whole > 0 OR cutoff IS NOT NULL")
     # a row for each leaf: written first, so that Spark knows its size and need not deal out the texts
     leaf = materialize(leaf.coalesce(1), "mix-leaves")
