@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs (native).
 
-``LineRuns`` is a log-structured index of line keys.  A batch of lines becomes one
-sorted run of (key, documents, largest id); when a level holds ``fanout`` runs they are
-merged into one run of the next level.  ``ingest`` merge-anti-joins a new batch with the
-runs, which drops the lines that earlier batches hold, and adds the rest as a run.
+``LineRuns`` is a log-structured index of line keys.  ``ingest`` takes the next batch and
+merge-joins its keys with the runs: the keys that no run holds (the anti-join) become a
+sorted run of (key, documents, largest id) of their own, the others go to a log of
+repeats.  When a level holds ``fanout`` runs they are compacted into one run of the next
+level.  A key stands in one run only, so the count of a key is that of its run and of its
+repeats, and only keys that are repeated, or frequent in their first batch, are summed.
 
 Keys are 128 bits of the stripped, ASCII-lower-cased line.
 
@@ -25,7 +27,8 @@ from helixframe.runtime import discard, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
+#: Batches that a table comes in, and runs of a level that are compacted.
+BATCHES, FANOUT = 4, 2
 KEY = ["h1", "h2"]
 
 
@@ -43,59 +46,68 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 class LineRuns:
-    """Levelled sorted runs of line keys, in scratch tables."""
+    """Levelled sorted runs of line keys (h1, h2, docs, last), and the log of repeats, in scratch tables."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels, self.repeats, self.stale = spark, fanout, [], [], []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, runs)
-        return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last")).sortWithinPartitions(*KEY)
-
-    def add(self, lines: DataFrame) -> None:
-        """Adds a run for the batch ``lines`` (id, h1, h2; a row for each document and key)."""
-        run = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
-        self._put(materialize(run.sortWithinPartitions(*KEY), "run-0"), 0)
-
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = materialize(self._merged(full), f"run-{level + 1}")
-            discard(*full)
+            # no key is in two runs: compaction only deals them out by key and sorts
+            rows = reduce(DataFrame.unionByName, full).repartition(*KEY).sortWithinPartitions(*KEY)
+            merged = materialize(rows, f"run-{level + 1}", free=False)
+            self.stale += full  # the latest run may still be read
             self._put(merged, level + 1)
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines whose key no run holds (merge-anti-join)."""
-        for run in self.runs():
-            lines = lines.join(run.select(*KEY), KEY, "left_anti")
-        return lines
-
     def ingest(self, lines: DataFrame) -> DataFrame:
-        """First come, first kept: returns the batch's unseen lines and adds them as a run."""
-        new = materialize(self.unseen(lines), "unseen")
-        self.add(new)
-        return new
-
-    def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(h1, h2, last) of the keys that at least ``min_docs`` documents hold, over all levels."""
+        """Adds the batch ``lines`` (id, h1, h2; a row for each document and key): returns its keys that were new."""
+        discard(*self.stale)
+        self.stale = []
+        batch = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
         runs = self.runs()
-        rows = self._merged(runs) if len(runs) > 1 else runs[0]
-        return rows.where(F.col("docs") >= min_docs).select(*KEY, "last")
-
+        if runs:
+            held = reduce(DataFrame.unionByName, [run.select(*KEY) for run in runs])
+            batch = materialize(batch, "batch", free=False)
+            self.repeats.append(materialize(batch.join(held.hint("merge"), KEY, "left_semi"), "repeats", free=False))
+            new = batch.join(held.hint("merge"), KEY, "left_anti")
+        else:
+            new = batch
+        run = materialize(new.sortWithinPartitions(*KEY), "run-0", free=False)
+        if runs:
+            discard(batch)
+        self._put(run, 0)
+        return run
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
+        """(h1, h2, last) of the keys that at least ``min_docs`` documents hold, over all runs and repeats."""
+        if not self.runs():
+            return self.spark.createDataFrame([], "h1 long, h2 long, last long")
+        rows = reduce(DataFrame.unionByName, self.runs())
+        alone = rows.where(F.col("docs") >= min_docs)
+        if self.repeats:
+            again = materialize(reduce(DataFrame.unionByName, self.repeats), "repeats", free=False)
+            first = rows.join(again.select(*KEY).distinct().hint("merge"), KEY, "left_semi")
+            rows = first.unionByName(alone.join(again.select(*KEY).hint("merge"), KEY, "left_anti")).unionByName(again)
+        else:
+            rows = alone
+        total = rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return total.where(F.col("docs") >= min_docs).select(*KEY, "last")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(k1, k2, drop): for each document that loses lines, their line numbers in order."""
-    lines = materialize(line_keys(docs, id_col, text_col, min_chars), "lines")
-    index = LineRuns(docs.sparkSession, fanout=batches)
+    rows = line_keys(docs, id_col, text_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("k1"), F.lit(batches)).cast("int"))
+    lines = materialize(rows, "lines", by="batch")  # a folder for each batch, read once
+    index = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
-        index.add(lines.where(F.pmod("k1", F.lit(batches)) == b))
+        index.ingest(lines.where(F.col("batch") == b))
     frequent = materialize(index.frequent(min_docs), "frequent")
     hits = lines.join(frequent, KEY).where(~F.col("id").eqNullSafe(F.col("last")))
     return hits.groupBy("k1", "k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("drop"))
