@@ -1,26 +1,33 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-A page is read once as a sequence of words and tags.  Each token knows its role: the
-innermost enclosing element that says what its content is (article, navigation, advert,
-comments, ...), from the tag's name or the words of its class, id and role attributes.
-Words score the log-odds of lying in the main content, given their role; tags score
-negative.  Both are estimated from labelled pages: a fixed set of small pages, and pages
-of the table that mark their own article, of which a bounded sample is used.  One linear
-scan finds the contiguous region of the largest score; inside it, blocks whose role is
-not content are left out, and the rest is joined block by block.
+A page is read once as a sequence of tags and of blocks of words.  A block's words score
+the log-odds of lying in the main content, by a logistic model of where the block stands
+(the open elements and the words of their class, id and role attributes) and what it looks
+like (length, share of links, sentences); tags score the negative log-odds of lying
+outside of it.  Both are learned: from a fixed set of small labelled pages, and from a
+bounded sample of the table's pages that mark their own article.  One linear scan finds
+the contiguous region of the largest score, which is widened to the element that holds it.
+Inside it the scan runs again with the signs
+turned: runs of blocks that speak against being content (an advert between two paragraphs,
+comments below the last) are cut out, the worst first, until no block that scores below
+zero is left; the rest is joined block by block.
 
 Defined cases: a null or empty html, or one without positive words, gives an empty text;
-unclosed and unopened tags are tolerated; of equally good regions the first is taken.
+unclosed and unopened tags are tolerated; what is never shown (scripts, styles, titles,
+templates, text areas) is no text; of equally good regions the first is taken; a page of
+any length is read as a whole.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
+import os.path
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +36,8 @@ from helixframe.llm.common import hash_sample
 
 #: At most so many pages of the table that mark their own article teach the weights.
 SAMPLE_PAGES = 400  # of twice as many that are looked at
+#: A block inside a marked article counts as an insert if the labelled pages alone give it so little.
+INSERT_BELOW = -2.0
 
 # fixed values: HTML element names by their part in a page
 BLOCKS = frozenset(
@@ -36,150 +45,198 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp".split())
-TAG_ROLES = {
-    "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "input": "form", "label": "form", "fieldset": "form", "dialog": "notice",
-    "script": "code", "style": "code", "template": "code", "noscript": "code", "iframe": "code", "object": "code", "svg": "code", "canvas": "code", "head": "head", "title": "head", "textarea": "form",
-    "article": "article", "main": "article",
-}
-WORD_ROLES = {
-    "nav": "menu", "navbar": "menu", "navigation": "menu", "menu": "menu", "breadcrumb": "menu", "breadcrumbs": "menu", "pagination": "menu", "pager": "menu", "toc": "menu", "tabs": "menu",
-    "header": "header", "masthead": "header", "banner": "header", "topbar": "header", "footer": "footer", "copyright": "footer", "contentinfo": "footer",
-    "sidebar": "aside", "aside": "aside", "widget": "aside", "related": "aside", "complementary": "aside", "recommended": "aside", "trending": "aside", "popular": "aside",
-    "ad": "ad", "ads": "ad", "advert": "ad", "adverts": "ad", "advertisement": "ad", "advertising": "ad", "sponsor": "ad", "sponsored": "ad", "promo": "ad", "promotion": "ad",
-    "comment": "comments", "comments": "comments", "commentlist": "comments", "disqus": "comments", "replies": "comments", "reply": "comments", "respond": "comments",
-    "cookie": "notice", "cookies": "notice", "consent": "notice", "gdpr": "notice", "notice": "notice", "popup": "notice", "modal": "notice", "newsletter": "notice", "subscribe": "notice", "alert": "notice", "overlay": "notice", "paywall": "notice", "disclaimer": "notice",
-    "share": "aside", "sharing": "aside", "social": "aside", "search": "form", "login": "form", "signup": "form", "hidden": "code",
-    "article": "article", "main": "article", "content": "article", "post": "article", "story": "article", "entry": "article",
-}
-CONTENT = frozenset(("article", "plain"))
+#: Elements that are no blocks but tell what their words are.
+TELLING = frozenset("button select label a td th".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 #: Small labelled pages: the main text is what stands between [[ and ]].
 LABELLED = (
-    '<html><head><title>t t</title></head><body><header class="top"><h1>site name</h1></header><nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav><div class="content">[[<h2>a title here</h2><p>first words of the text follow here.</p><p>more words of the text stand here.</p>]]</div><aside><h3>see also</h3><p>other things to read</p></aside><footer>all rights reserved</footer></body></html>',
-    '<body><div id="cookie-notice"><p>we use cookies on this site</p><button>accept</button></div><div class="post">[[<h1>the title</h1><p>many words make up this text and go on.</p><ul><li>one point</li><li>another point</li></ul>]]<div class="comments"><p>first reader says this</p><p>second reader says that</p></div></div><form action="/s"><label>search</label><input></form></body>',
-    "<body><div>[[<p>a page with no names at all has only words in it.</p><p>it goes on with a second block of words.</p>]]</div><div class='ad'>buy this now</div><div class='sidebar'><ul><li><a>link one</a></li><li><a>link two</a></li></ul></div></body>",
-    "<body><table><tr><td>[[<p>old pages kept their text in tables and had long words.</p><blockquote>they cited others too, at length.</blockquote>]]</td></tr></table><script>var x=1;</script><div class='newsletter'>subscribe to our letter</div><div class='related'><a>more</a><a>like this</a></div></body>",
+    '<body><header class="top"><h1>site name</h1><p>the motto of this site</p></header><nav class="main-menu"><ul><li><a>home</a></li><li><a>news</a></li><li><a>sports today</a></li></ul></nav><div class="content">[[<h2>a title here</h2><p>First words of the text follow here, and then some more.</p><p>More words of the text stand here.</p><p>Short one.</p>]]</div><aside class="sidebar"><h3>see also</h3><p>Other things to read when you are done with this.</p></aside><footer class="site-footer">all rights reserved</footer></body>',
+    '<body><div id="cookie-notice" class="banner consent"><p>We use cookies on this site to make it better.</p><button>accept</button></div><div class="post">[[<h1>the title</h1><p>Many words make up this text and go on for a while.</p><ul><li>one point that is made</li><li>another point of the text</li></ul><p>An end.</p>]]<div class="comments" id="comments"><h3>two comments</h3><p>First reader says this, at some length, and signs.</p><p>Second reader says that.</p></div></div><form action="/s" class="search"><label>search</label><input></form></body>',
+    "<body><div>[[<p>A page with no names at all has only words in it, many of them.</p><p>It goes on with a second block of words.</p><p>And a third.</p>]]</div><div class='ad'>Buy this now, it is cheap and good.</div><div class='sidebar widget'><ul><li><a>link one</a></li><li><a>link two</a></li></ul></div></body>",
+    "<body><table><tr><td>[[<p>Old pages kept their text in tables and had long words in them.</p><blockquote>They cited others too, at length, and more than once.</blockquote>]]</td></tr></table><script>var x=1;</script><div class='newsletter subscribe'>Subscribe to our letter and never miss a thing.</div><div class='related'><a>more</a><a>like this</a></div></body>",
+    '<body><nav><a>start</a><a>shop</a><a>about us</a></nav><main class="main">[[<h1>what happened</h1><p>It was a day like many others, and nobody thought of it.</p>]]<aside class="ad advert"><p>This advert stands between two paragraphs, and wants you to buy.</p></aside>[[<p>Then it came otherwise.</p><p>So it ended, as all things do.</p>]]<div class="share social"><a>share</a><a>tweet</a></div></main><footer><p>Made by us, in our town, with some care.</p><ul><li><a>imprint</a></li><li><a>privacy</a></li></ul></footer></body>',
+    '<body><article class="story"><header>[[<h1>a heading in its article</h1>]]<p class="meta byline">by someone on a day</p></header>[[<p>The story has a first paragraph of some length here.</p><figure><figcaption>what the picture shows</figcaption></figure><p>Its second one is shorter.</p>]]<div class="promo sponsored"><p>Sponsored: you may like these things that others sell.</p></div>[[<p>Its last one ends.</p>]]<section id="comments" class="replies"><article class="comment"><p>I read it and I liked it very much, thank you.</p></article><article class="comment"><p>I did not.</p></article></section></article><aside><p>popular now</p><a>one</a><a>two</a></aside></body>',
+    '<body><div class="skip"><a>skip to content</a></div><ul class="breadcrumb"><li><a>home</a></li><li><a>archive</a></li></ul><section class="entry-content">[[<h2>notes</h2><p>These notes were written down in a hurry, and late.</p><pre>some lines that keep their form</pre><h3>more notes</h3><p>Read them with care.</p><ol><li>first of all, sleep</li><li>then eat something</li></ol>]]</section><div class="modal popup" role="dialog"><p>Sign up today and get the next one free.</p><form><label>your mail</label><button>sign up</button></form></div><div role="contentinfo">copyright of this page</div></body>',
+    '<body><div class="alert notice">This page is old and will go away.</div><div id="header"><a>logo</a><span>a place for words</span></div><div id="main" role="main">[[<p>Words upon words make a page that people read.</p><table><tr><th>name</th><th>worth</th></tr><tr><td>first</td><td>ten</td></tr></table><p>As the table shows, little is left.</p><dl><dt>term</dt><dd>what the term means in this text</dd></dl>]]</div><div id="footer">terms of use</div><div class="hidden" hidden>never seen by anyone</div></body>',
+    '<body><nav><a>home</a></nav><article class="story post">[[<h1>a story</h1><p>It begins here with a sentence, and there is another.</p>]]<aside><p>see also what others wrote</p></aside><form><input>go</form><div class="newsletter"><p>Have our letter sent to you each day.</p></div>[[<p>Middle.</p><h2>a part</h2><p>It goes on.</p>]]<div id="comments" class="comments"><p>nice post</p><p>I think so too, and I would add some words.</p></div>[[<p>Its last line.</p>]]</article><div class="sidebar"><p>more of it</p></div><footer>foot</footer></body>',
+    '<body><div class="wrap"><div class="story article">[[<h2>the end of it</h2><p>Ends.</p><p>It had been long, and all were tired of it.</p><p>One more.</p>]]</div><div class="ad sponsored promo">Get one, get two.</div><aside class="related"><ul><li><a>a thing</a></li><li>some other thing</li></ul></aside></div></body>',
+    '<body><nav><ul><li><a>a</a></li><li><a>b</a></li></ul></nav><div class="ad">Some words that sell a thing to you.</div><article>[[<h1>one title</h1><p>One text, with a <a>link</a> in it, that goes on and on.</p><p>Two.</p><p>Three words here.</p>]]</article><footer>&copy; this site, and some words about it.</footer></body>',
 )
 
 
-def role_of(tag: str, attributes: str) -> str | None:
-    """The role that an element gives to what it holds, or None."""
-    if attributes:
-        for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-            if hidden or name.lower() == "aria-hidden" and (a or b or c).lower() == "true" or name.lower() == "style" and re.search(r"display\s*:\s*none", a or b or c):
-                return "code"
-            if name.lower() in ("class", "id", "role"):
-                best = None
-                for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()):
-                    if (got := WORD_ROLES.get(word)) and (best is None or best == "article"):
-                        best = got
-                if best and (best != "article" or tag not in TAG_ROLES):
-                    return best
-    return TAG_ROLES.get(tag)
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
-    """(kind, value, role, block): kind ``w`` for text (value: decoded text) or ``t`` for a tag (value: its name)."""
-    at, block = 0, 0
-    stack: list[tuple[str, str]] = []  # open elements that count: (tag, role within)
-    role, raw = "plain", ""
-    links = 0
-    n = len(page)
+def names_of(attributes: str) -> list[str]:
+    """The words of an element's class, id and role; ``hidden`` if it is not shown."""
+    out = []
+    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+        value, name = a or b or c, name.lower()
+        if hidden or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            out.append("hidden")
+        elif name in ("class", "id", "role"):
+            out += [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
+    return out
+
+
+@dataclass
+class Block:
+    """The words between two block tags: what the open elements tell, where these begin, the pieces of text, words in links."""
+
+    where: tuple[str, ...]
+    path: tuple[int, ...]
+    parts: list[str] = field(default_factory=list)
+    linked: int = 0
+
+    def text(self) -> str:
+        return " ".join("".join(self.parts).split())
+
+
+def read(page: str) -> Iterator[str | Block]:
+    """The page's block tags (their names) and blocks, in order."""
+    at, n, links = 0, len(page), 0
+    stack: list[tuple[str, tuple[str, ...], int]] = []  # open elements that count: (tag, what they tell, where they begin)
+    block: Block | None = None
     while at < n:
-        if raw:
-            end = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(page, at)
-            at, raw = (end.start() if end else n), ""
-            continue
         m = TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
             text = entities.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop]
-            yield "w", text, ("link" if links and role == "plain" else role), block
+            if block is None:
+                block = Block(tuple(dict.fromkeys(x for _, told, _ in stack for x in told)), tuple(x for tag, _, x in stack if tag in BLOCKS))
+            block.parts.append(text)
+            if links:
+                block.linked += len(text.split())
         if not m:
-            return
+            break
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, closes = m[2].lower(), bool(m[1])
+        if tag == "a":
+            links = max(0, links - 1) if closes else links + 1
+        if tag in ("br", "td", "th") and block is not None:
+            block.parts.append(" ")
         if tag in BLOCKS:
-            block += 1
-        if m[1]:  # an end tag closes down to its element, if that is open
-            if tag == "a":
-                links = max(0, links - 1)
-            yield "t", "/" + tag, role, block
+            if block is not None:
+                yield block
+                block = None
+            yield "/" + tag if closes else tag
+        if closes:  # an end tag closes down to its element, if that is open
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    role = stack[-1][1] if stack else "plain"
                     break
             continue
-        own = role_of(tag, m[3] or "")
-        if tag == "a":
-            links += 1
         if tag == "body":
-            own = None
             stack.clear()
-            role = "plain"
-        if own == "header" and role == "article" or own == "article" and role not in CONTENT:
-            own = None  # an article's own heading is content; an article among comments is none
-        if tag in BLOCKS or own:
-            if tag not in VOID and not (m[3] or "").endswith("/"):
-                if tag == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                    role = stack[-1][1] if stack else "plain"
-                role = own or role
-                stack.append((tag, role))
-        yield "t", tag, role, block
+        told = names_of(m[3]) if m[3] else []
+        if (tag in BLOCKS or tag in TELLING or told) and tag not in VOID and not (m[3] or "").endswith("/"):
+            if tag == "p" and stack and stack[-1][0] == "p":
+                stack.pop()
+            if tag not in ("body", "html", "a"):
+                stack.append((tag, ("<" + tag, *told), at))
         if tag in RAW:
-            raw = tag
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = end.start() if end else n
+    if block is not None:
+        yield block
+
+
+def looks(b: Block) -> list[str]:
+    """What the model is told of a block."""
+    text = b.text()
+    words = len(text.split())
+    out = ["bias", *b.where, f"words {min(4, words.bit_length() // 2)}"]
+    if b.where:
+        out.append("in " + next((x for x in reversed(b.where) if x[0] == "<"), ""))
+    if 2 * b.linked > words:
+        out.append("links")
+    if re.search(r"[.!?:]\W*$", text):
+        out.append("sentence")
+    return out
+
 
+@dataclass(frozen=True)
+class Weights:
+    """``words``: log-odds by feature; ``tags``: what a tag costs."""
 
-Weights = dict[tuple[str, str], float]
+    words: dict[str, float]
+    tags: dict[str, float]
 
+    def score(self, b: Block) -> float:
+        return sum(self.words.get(f, 0.0) for f in looks(b))
 
-def learn(pages: list[list[tuple[str, str, str, int, bool]]], smooth: float = 0.5) -> Weights:
-    """Log-odds of content by (kind, role or tag) over tokens with their labels.
+    def tag(self, name: str) -> float:
+        return self.tags.get(name.lstrip("/"), -0.5)
 
-    Words keep the sign of what they showed; tags never score above a small negative.
+
+#: A labelled page: its tags and blocks, each with whether it is content.
+Labelled = list[tuple[str | Block, bool]]
+
+
+def learn(pages: list[Labelled], known: Weights | None = None, penalty: float = 0.0001, steps: int = 1000) -> Weights:
+    """A logistic model of blocks, weighted by their number of words, logarithmically; tags by their counts inside and outside.
+
+    Weights are drawn to those that are ``known``, and to zero otherwise.
     """
-    inside: Counter = Counter()
-    outside: Counter = Counter()
+    inside, outside, rows, y, size = Counter(), Counter(), [], [], []
     for page in pages:
-        for kind, value, role, _, good in page:
-            key = ("w", role) if kind == "w" else ("t", role if role not in CONTENT else value.lstrip("/"))
-            (inside if good else outside)[key] += len(value.split()) if kind == "w" else 1
-    out = {}
-    for key in inside.keys() | outside.keys():
-        odds = math.log((inside[key] + smooth) / (outside[key] + smooth))
-        if key[0] == "w":
-            # within content roles a word always speaks for content; elsewhere it speaks against,
-            # but softly: such blocks are left out of the region, and must not cut it in two
-            out[key] = max(0.5, odds) if key[1] in CONTENT else min(-0.01, odds / 100)
-        else:
-            out[key] = min(-0.02, max(odds, -3.0) / 100)
+        for item, good in page:
+            if isinstance(item, str):
+                (inside if good else outside)[item.lstrip("/")] += 1
+            elif words := len(item.text().split()):
+                rows.append(looks(item))
+                y.append(good)
+                size.append(1 + np.log(words))
+    tags = {t: -float(np.log1p((outside[t] + 0.5) / (inside[t] + 0.5))) for t in inside.keys() | outside.keys()}
+    names = sorted({f for r in rows for f in r})
+    place = {f: k for k, f in enumerate(names)}
+    at = np.array([(i, place[f]) for i, r in enumerate(rows) for f in r], np.int64).reshape(-1, 2)
+    y, size, speed = np.array(y, float), np.array(size, float), np.zeros(len(names))
+    before = np.array([known.words.get(f, 0.0) if known else 0.0 for f in names])
+    w = before.copy()
+    # both kinds count alike, whatever their number
+    for kind in (0.0, 1.0):
+        if (y == kind).any():
+            size[y == kind] /= size[y == kind].sum()
+    for _ in range(steps):
+        z = np.bincount(at[:, 0], w[at[:, 1]], len(rows))
+        error = size * (1 / (1 + np.exp(-z)) - y)
+        slope = np.bincount(at[:, 1], error[at[:, 0]], len(names)) + penalty * (w - before)
+        speed = 0.9 * speed - 2.0 * slope
+        w = w + speed
+    return Weights((known.words if known else {}) | dict(zip(names, w.tolist(), strict=True)), (known.tags if known else {}) | tags)
+
+
+def marked(page: str) -> Labelled:
+    """A page whose main text stands between [[ and ]]."""
+    good, out = False, []
+    # the marks stand where a block ends, so each is a block of its own or begins or ends one
+    for item in read(page.replace("[[", "<hr>\x02<hr>").replace("]]", "<hr>\x03<hr>")):
+        if isinstance(item, Block) and item.text() in ("\x02", "\x03"):
+            good = item.text() == "\x02"
+        elif item != "hr":
+            out.append((item, good))
     return out
 
 
-def labelled(page: str, marks: tuple[str, str], drop: bool = False) -> list[tuple[str, str, str, int, bool]]:
-    """The tokens of a page whose main text stands between two marks; ``drop``: the marks are no markup."""
-    a, b = page.find(marks[0]), page.rfind(marks[1])
-    if a < 0 or b < a:
-        return []
-    head, held = page[:a], page[a:b]
-    if drop:
-        held = held[len(marks[0]) :]
-        page = head + held + page[b + len(marks[1]) :]
-    first, last = sum(1 for _ in tokens(head)), sum(1 for _ in tokens(head + held))
-    return [(*t, first <= i < last and t[2] in CONTENT) for i, t in enumerate(tokens(page))]
-
-
 def weights(examples: list[str]) -> Weights:
-    """From the fixed labelled pages and pages that hold exactly one article element."""
-    pages = [labelled(p, ("[[", "]]"), drop=True) for p in LABELLED]
-    pages += [labelled(p, ("<article", "</article>")) for p in examples]
-    return learn([p for p in pages if p])
+    """From the fixed labelled pages, and pages that hold exactly one article element.
+
+    In an article all is content but what the labelled pages alone teach to be an insert.
+    """
+    known = [marked(p) for p in LABELLED]
+    first = learn(known)
+    pages = []
+    for p in examples:
+        out, depth = [], 0
+        for item in read(p):
+            depth += (item == "article") - (item == "/article") if isinstance(item, str) else 0
+            good = isinstance(item, Block) and "<article" in item.where and first.score(item) > INSERT_BELOW
+            out.append((item, good if isinstance(item, Block) else depth > 0))
+        pages.append(out)
+    # the table's pages refine what the fixed ones taught
+    return learn(pages, first, 0.002) if pages else first
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -194,41 +251,44 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def _widened(seq: list[str | Block], scores: list[float], start: int, end: int) -> tuple[int, int]:
+    """The region up to the ends of the element that holds its blocks, if that is not the page itself.
+
+    An insert that costs more than what follows it ends the best region, but not the article.
+    """
+    paths = [x.path for x, s in zip(seq[start:end], scores[start:end], strict=True) if isinstance(x, Block) and s > 0]
+    if not paths or not (held := os.path.commonprefix(paths)):
+        return start, end
+    inside = [k for k, x in enumerate(seq) if isinstance(x, Block) and held[-1] in x.path]
+    return min(start, inside[0]), max(end, inside[-1] + 1)
+
+
 def extract(page: str | None, w: Weights) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    seq = list(tokens(page))
-    scores = []
-    for kind, value, role, _ in seq:
-        if kind == "w":
-            n = len(value.split())
-            scores.append(n * w.get(("w", role), 0.5 if role in CONTENT else -0.5 if role == "link" else -0.05) if n else 0.0)
-        else:
-            scores.append(w.get(("t", role if role not in CONTENT else value.lstrip("/")), -0.05))
-    start, end = best_region(scores)
-    blocks: list[str] = []
-    now, parts = -1, []
-    for kind, value, role, block in seq[start:end]:
-        if block != now:
-            if parts and (text := " ".join("".join(parts).split())):
-                blocks.append(text)
-            now, parts = block, []
-        if kind == "w":
-            if role in CONTENT or role == "link":
-                parts.append(value)
-        elif value.lstrip("/") in ("br", "td", "th"):
-            parts.append(" ")
-    if parts and (text := " ".join("".join(parts).split())):
-        blocks.append(text)
-    return "\n".join(blocks)
+    seq = list(read(page))
+    scores = [w.tag(x) if isinstance(x, str) else len(x.text().split()) * w.score(x) for x in seq]
+    start, end = _widened(seq, scores, *best_region(scores))
+    # tags cost nothing either way inside the region: only blocks speak against being content
+    seq, scores = seq[start:end], [0.0 if isinstance(x, str) else s for x, s in zip(seq[start:end], scores[start:end], strict=True)]
+    gone = np.zeros(len(seq), bool)
+    todo = [(0, len(seq))]
+    while todo:
+        a, b = todo.pop()
+        i, j = best_region([-s for s in scores[a:b]])
+        if j > i:
+            gone[a + i : a + j] = True
+            todo += [(a, a + i), (a + j, b)]
+    texts = (x.text() for x, g in zip(seq, gone.tolist(), strict=True) if not g and isinstance(x, Block))
+    return "\n".join(t for t in texts if t)
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Weights:
     """Weights from the fixed pages and at most ``sample_pages`` pages that mark their article."""
     page = F.col(f"`{html_col}`")
     some = hash_sample(pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), page.alias("p")), F.col("id"), 2 * sample_pages)
-    one = some.where(F.contains("p", F.lit("<article")) & F.contains("p", F.lit("</article>"))).orderBy("id").limit(sample_pages)
+    one = some.where((F.regexp_count("p", F.lit("<article")) == 1) & F.contains("p", F.lit("</article>"))).orderBy("id").limit(sample_pages)
     return weights([r["p"] for r in one.select("p").collect()])
 
 
