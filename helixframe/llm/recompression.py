@@ -5,11 +5,16 @@ name for (symbol, length), then a seeded coin splits all symbols into left and r
 and each pair of a left and a right symbol gets a name.  Names are 64-bit hashes of what
 they stand for, so equal words get equal names in every text with no exchange of names.
 With each symbol goes its *context*: the words that decide that it was formed as it was.
-A symbol whose context lies in a window is formed the same way wherever that window's
-words stand.  A window's anchor is, of the highest level that has such symbols, the one
-with the smallest name.  Symbols of that level are short, so an anchor is told apart by
-the half window that begins or ends at it, whichever the window holds; texts that share
-that are compared (see ``repeats``), window by window over a 128-bit hash of all 35 words.
+A symbol whose context lies in a range of words is formed the same way wherever those
+words stand.  So a range has one *cover*: of the highest level the symbols whose contexts
+lie in it, then what these leave at either side, level by level down to words.  Equal
+ranges have equal covers, in which long inner parts are a few high symbols, and the cover
+is renamed once more, as one symbol: that symbol reveals repeats and verifies them.
+
+A window's anchor is, of the highest level that has symbols for it, the one with the
+smallest name.  The cover of the half window that begins or ends at the anchor, whichever
+the window holds, is the key under which texts meet (see ``repeats``); spans and, where it
+comes to that, windows are the same if their covers are, under 128 bits of names.
 
 Defined cases: a null or empty text has no words; documents shorter than a window lose
 nothing; runs and periodic texts are windows like any others; rows that repeat in full
@@ -41,6 +46,13 @@ class Level:
 
     def __init__(self, sym, start, end, lo, hi, head):
         self.sym, self.start, self.end, self.lo, self.hi, self.head = sym, start, end, lo, hi, head
+        self.kept: dict[int, RollingHash] = {}
+
+    def rolling(self, salt: int) -> RollingHash:
+        """Names of runs of symbols; kept for each salt."""
+        if salt not in self.kept:
+            self.kept[salt] = RollingHash(mix(self.sym + U(salt)))
+        return self.kept[salt]
 
     def runs(self, salt: int) -> Level:
         """Symbols equal to their right neighbour join it in a run, all but the run's last."""
@@ -62,7 +74,9 @@ class Level:
         sym = np.where(run, mix(self.sym[idx] + count * U(0x8EBC6AF09C88C6E3) + U(salt)), self.sym[idx])
         # where a run begins depends on its left neighbour
         left = np.where(self.head[idx], self.start[idx] - 1, self.lo[np.maximum(idx - 1, 0)])
-        return Level(sym, self.start[idx], self.end[last], np.where(run, left, self.lo[idx]), hi[last], self.head[idx])
+        # where it ends, on what the symbol behind it depends on: that one is no member
+        right = np.where(run, hi[np.minimum(last + 1, n - 1)], hi[last])
+        return Level(sym, self.start[idx], self.end[last], np.where(run, left, self.lo[idx]), right, self.head[idx])
 
     def pairs(self, salt: int) -> Level:
         """Each left symbol followed by a right one becomes a pair."""
@@ -87,6 +101,9 @@ class Level:
 
 
 def parse(names: np.ndarray, head: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
+    """The levels of all rounds over the words of several texts; ``head`` marks first words."""
+    if rounds < 1:
+        raise ValueError("recompression takes one round at least")
     at = np.arange(len(names))
     levels = [Level(names, at, at + 1, at, at + 1, head)]
     for r in range(rounds):
@@ -128,6 +145,30 @@ def anchors(levels: list[Level], starts: np.ndarray, width: int) -> tuple[np.nda
     return level_of, of
 
 
+def covers(levels: list[Level], first: np.ndarray, end: np.ndarray, salts: tuple[int, ...] = (0x5A17,)) -> list[np.ndarray]:
+    """For each salt the name of the cover of each range [first, end) of words of one text.
+
+    Contexts only grow with the levels, so what fits at one level lies within what fits below.
+    """
+    names = [np.full(len(first), salt, U) for salt in salts]
+    left, right, held = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+    for v in reversed(levels):
+        a, b = np.searchsorted(v.lo, first, side="left"), np.searchsorted(v.hi, end, side="right")
+        fits = b > a
+        a = np.where(fits, a, 0)
+        b = np.where(fits, b, 0)
+        # where nothing is covered yet, all that fits is new; else what lies before and behind
+        j = np.where(held, np.searchsorted(v.start, left, side="left"), b)
+        k = np.where(held, np.searchsorted(v.start, right, side="left"), b)
+        for i, salt in enumerate(salts):
+            r = v.rolling(salt)
+            names[i] = np.where(fits, mix(names[i] * U(3) + r.of(a, j) * U(0xC2B2AE3D27D4EB4F) + r.of(k, b)), names[i])
+        some = np.flatnonzero(fits)
+        left[some], right[some] = v.start[a[some]], v.end[b[some] - 1]
+        held |= fits
+    return names
+
+
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, text of each word, first word of each text, words of each text)."""
     start, end = word_spans(raw, offsets)
@@ -159,15 +200,14 @@ def find(raw: np.ndarray, offsets: np.ndarray, width: int = WINDOW, rounds: int
     a = np.concatenate(([0], np.flatnonzero(change) + 1))
     b = np.concatenate((a[1:], [len(starts)])) - 1
     s1, s2, at, side = starts[a], starts[b], place[a], early[a]
-    rolling = RollingHash(names)
-    name = rolling.of(np.where(side, at, at - half), np.where(side, at + half, at)) ^ np.where(side, U(0), U(0xE7037ED1A0B428DB))
+    name = covers(levels, np.where(side, at, at - half), np.where(side, at + half, at))[0] ^ np.where(side, U(0), U(0xE7037ED1A0B428DB))
     t = text[s1]
     base = first[t]
-    return t, s1 - base, s2 - base, at - base, name, rolling.of(s1, s2 + width)
+    return t, s1 - base, s2 - base, at - base, name, covers(levels, s1, s2 + width)[0]
 
 
-def _window_rows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows of each span that is compared in detail, with a 128-bit hash."""
+def _window_rows(width: int, rounds: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """The windows of each span that is compared in detail, with 128 bits of names of their covers."""
     own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("spans"))
     rows = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "spans")
 
@@ -184,7 +224,9 @@ def _window_rows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
                 s1, s2, n = (got.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 size = s2 - s1 + 1
                 at = np.repeat(s1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                a, b = RollingHash(names).of(at, at + width), RollingHash(mix(names + U(0x71D67FFFEDA60000))).of(at, at + width)
+                head = np.zeros(len(names), bool)
+                head[:1] = True
+                a, b = covers(parse(names, head, rounds), at, at + width, (0x5A17, 0x71D6))
                 m = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, k1)), pa.array(np.full(m, k2)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
@@ -194,18 +236,18 @@ def _window_rows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, s int, n int, a long, b long")
 
 
-def _compare(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
-    return repeats.windows_twice(repeats.materialize(_window_rows(width, spans, texts), "windows"))
+def _compare(width: int, rounds: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    return repeats.windows_twice(repeats.materialize(_window_rows(width, rounds, spans, texts), "windows"))
 
 
-def repeated_ranges(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_ranges(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(k1, k2, s1, s2): first words of windows of ``width`` words that stand anywhere else too."""
-    return repeats.repeated(docs, partial(find, width=width), partial(_compare, width), id_col, text_col)
+    return repeats.repeated(docs, partial(find, width=width, rounds=rounds), partial(_compare, width, rounds), id_col, text_col)
 
 
-def dedup(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the text left) of every row."""
-    rows = repeats.with_ranges(docs, repeated_ranges(docs, width, id_col, text_col), id_col, text_col)
+    rows = repeats.with_ranges(docs, repeated_ranges(docs, width, id_col, text_col, rounds), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,7 +60,7 @@ def test_repeated_words(docs):
     assert recompression.dedup(empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
+@pytest.mark.parametrize("hot", [50_000, 4, 1])
 def test_repeated_bytes(docs, hot):
     width = suffixes.WINDOW
     texts = [(i, (t or "").encode()) for i, t in DOCS]
@@ -77,6 +77,25 @@ def test_repeated_bytes(docs, hot):
     assert suffixes.dedup(empty(docs)).count() == 0
 
 
+def test_covers_are_canonical():
+    """Windows of equal words have one name, others have others, at any number of rounds."""
+    rng = np.random.default_rng(1)
+    for vocabulary in (2, 5, 50):
+        words = rng.integers(0, 1 << 62, vocabulary).astype(np.uint64)[rng.integers(0, vocabulary, 1200)]
+        words[700:900] = words[100:300]
+        head = np.zeros(1200, bool)
+        head[[0, 500]] = True
+        starts = np.array([s for s in range(1200 - 35) if s >= 500 or s + 35 <= 500])
+        for rounds in (1, 3, 5):
+            names = recompression.covers(recompression.parse(words, head, rounds), starts, starts + 35)[0]
+            by = {}
+            for s, name in zip(starts, names, strict=True):
+                by.setdefault(words[s : s + 35].tobytes(), set()).add(int(name))
+            assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+    with pytest.raises(ValueError):
+        recompression.parse(words, head, 0)
+
+
 def test_deep_shallow_order():
     rng = random.Random(2)
     for _ in range(60):
