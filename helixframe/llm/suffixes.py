@@ -14,8 +14,10 @@ common prefix r to the right and l to the left repeat l + r bytes; the pairs tha
 are found by merging the shard's groups from the deepest prefix up, each time looking at
 the neighbours in the left order alone.
 
-A half window with over ``SHARD_SPANS`` different surroundings is not gathered in a task: its
-windows are compared by a 128-bit hash instead, which spreads over all tasks.
+A shard of over ``SHARD_SPANS`` spans is split by more bytes: its windows are parted by where
+the gram stands in them, and the bytes that all windows of a part share name a finer shard,
+down to whole windows if need be.  No task gathers more, and the sort decides all the same.
+Spans that are equal as a whole are combined, by two 64-bit hashes, before they are sorted.
 
 Defined cases: a null or empty text is empty; texts shorter than a window lose nothing;
 overlapping repeats count; rows that repeat in full repeat each other.
@@ -30,18 +32,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import repeats
-from helixframe.llm.textbuf import U, RollingHash, grams, mix, slices
+from helixframe.llm.textbuf import U, RollingHash, grams, mix
 from helixframe.runtime import materialize
 
 WINDOW = 200
 GRAM = 32
 #: Multikey quicksort looks at so many bytes; tries order what is equal up to there.
 SHALLOW = 16
-SHARD_SPANS = 50_000
+#: A shard of more spans is split by more bytes.
+SHARD_SPANS = 4096
 
 
 def _gram_hashes(g: np.ndarray, n: int) -> np.ndarray:
@@ -289,39 +293,70 @@ def _sorted_shards(width: int, cut: DataFrame) -> DataFrame:
     return cut.repartition("name").sortWithinPartitions("name").mapInArrow(run, "k1 long, k2 long, s1 int, s2 int")
 
 
-def _hot_windows(width: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
-    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("spans"))
+def _refine(width: int, size: int, spans: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits the shards of ``spans`` by more bytes: (what repeats as a whole, the spans of the finer shards).
+
+    The windows of a span are parted by where the gram stands in them, ``size`` places a part.
+    All windows of a part hold width - size + 1 bytes in common, which name its shard; equal
+    windows have their gram at the same place, so they meet again.  With parts of one place
+    the name is the window, and nothing is left to sort.
+    """
+    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", "at", "name", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("spans"))
     rows = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "spans")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["k1", "k2", "s1", "s2", "at", "name", "span", "n"]
+
+    def parts(raw: bytes, x: dict) -> Iterator[tuple]:
+        for k in range((x["at"] - x["s2"]) // size, (x["at"] - x["s1"]) // size + 1):
+            last = x["at"] - k * size  # the last window start of the part, if the text goes on so far
+            first = last - size + 1
+            common = raw[last : first + width]
+            a, b = max(first, x["s1"]), min(last, x["s2"])
+            name = xxhash.xxh64_intdigest(common, (x["name"] + k * 0x9E3779B97F4A7C15) % (1 << 64))
+            yield a, b, x["at"], _signed(name), _signed(xxhash.xxh64_intdigest(raw[a : b + width], a - last)), x["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            seen = set()
-            for i, (_, _, raw, _) in enumerate(slices(batch.column(2).fill_null(b""), 0)):
-                k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            seen, out = set(), []
+            for k1, k2, text, own_spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if (k1, k2) in seen:
                     continue
                 seen.add((k1, k2))
-                got = batch.column(3)[i].values
-                s1, s2, n = (got.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                size = s2 - s1 + 1
-                at = np.repeat(s1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                g = grams(raw)
-                a, b = (RollingHash(mix(g + U(c))).of(at, at + width - 7) for c in (0x3C79AC492BA7B653, 0x1D8E4E27C47D124F))
-                m = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, k1)), pa.array(np.full(m, k2)), pa.array(at.astype(np.int32)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["k1", "k2", "s", "n", "a", "b"],
-                )
+                raw = text.as_py() or b""
+                for x in own_spans.as_py():
+                    out += ((k1, k2, *part) for part in parts(raw, x))
+                    if len(out) >= 8192:
+                        yield batch_of(out)
+                        out = []
+            if out:
+                yield batch_of(out)
+
+    cut = materialize(rows.mapInArrow(run, "k1 long, k2 long, s1 int, s2 int, at int, name long, span long, n int"), "parts")
+    one = F.min(F.struct("k1", "k2", "s1", "s2", "at")).alias("one")
+    groups = materialize(cut.groupBy("name", "span").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), one), "part-kinds")
+    whole = cut.where("n = 1").join(groups.where("members > 1").select("name", "span"), ["name", "span"], "left_semi").select("k1", "k2", "s1", "s2")
+    still = groups.groupBy("name").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1").select("name", "kinds")
+    return whole, materialize(groups.join(still, "name").select("one.*", "name", "span", "n", "kinds"), "part-spans")
+
 
-    return rows.mapInArrow(run, "k1 long, k2 long, s int, n int, a long, b long")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _compare(width: int, shard_spans: int, spans: DataFrame, texts: DataFrame) -> DataFrame:
-    usual, hot = spans.where(F.col("kinds") <= shard_spans), spans.where(F.col("kinds") > shard_spans)
-    found = _sorted_shards(width, _cut_spans(width, usual, texts))
-    if hot.isEmpty():
-        return found
-    return found.unionByName(repeats.windows_twice(materialize(_hot_windows(width, hot, texts), "windows")))
+    """Sorts every shard; one of over ``shard_spans`` spans is split by more bytes first, again and again."""
+    found, size = None, 1 << (width.bit_length() - 2)
+    while True:
+        usual, hot = spans.where(F.col("kinds") <= shard_spans), spans.where(F.col("kinds") > shard_spans)
+        now = _sorted_shards(width, _cut_spans(width, usual, texts))
+        found = now if found is None else found.unionByName(now)
+        if hot.isEmpty():
+            return found
+        whole, spans = _refine(width, size, hot, texts)
+        found, size = found.unionByName(whole), max(1, size // 2)
 
 
 def repeated_ranges(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_spans: int = SHARD_SPANS) -> DataFrame:
