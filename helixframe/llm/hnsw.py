@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: a small-world graph per shard, results merged.
 
-Vectors are dealt by hash of their id into shards of bounded size.  Each shard builds a
-hierarchical navigable small-world graph over its distinct vectors and keeps it as flat
-arrays: neighbour lists of fixed width, padded with -1, for each layer.  Queries come in
-blocks; a task searches one shard for one block, with all queries of the block walking
-the graph in step, and the shards' best rows are merged and ranked by exact scores.
+Vectors are dealt by their length into shards of bounded size: vectors of one shard are about
+equally long, which is what makes a graph for inner products easy to walk.  Each shard builds
+a hierarchical navigable small-world graph over its distinct vectors and keeps it as flat
+arrays: neighbour lists of fixed width, padded with -1, for each layer.  Queries go to the
+shards: a task reads a shard once, and the queries that come after it walk its graph in step,
+some hundreds at a time.  The shards' best rows are merged and ranked by exact scores.
 
 Inner products are searched as distances: one more coordinate makes all vectors of a
 shard equally long (and is zero for queries), so that the largest inner product is the
-smallest distance.
+smallest distance.  The beam widens with the square root of the shard.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or a component that
 is not finite, take no part; vectors of different length live in different shards and
@@ -18,6 +19,7 @@ id are not its neighbours; fewer candidates than k: all of them; ties go to the
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,19 @@ SEARCH_BEAM = 140
 #: as large as a task can hold.
 SHARD_ROWS = 65536
 MIN_SHARDS = 8
-#: Queries that a task brings to a shard, and how many of them walk in step.
-QUERY_BLOCK = 8192
+#: Vectors of one shard differ in length by this factor at most.
+BAND = 1.15
+#: A shard of so many vectors is searched with the plain beam; a larger one with a wider beam.
+BEAM_ROWS = 4096
+#: Queries that one task takes through a shard, and how many of them walk in step.
+QUERY_BLOCK = 1 << 18
 IN_STEP = 512
 
 
+def beam_for(nodes: int, beam: int) -> int:
+    return int(beam * max(1.0, np.sqrt(nodes / BEAM_ROWS)))
+
+
 class Graph:
     """A layered small-world graph over the rows of ``x`` (unit geometry: all rows equally long)."""
 
@@ -213,11 +223,22 @@ INDEX = "dim int, shard int, ids array<long>, at array<int>, vectors binary, lev
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each shard of ``vectors`` (id, v): ids by node, distinct vectors, flat neighbour arrays."""
-    sizes = {r["dim"]: max(MIN_SHARDS, -(-r["n"] // shard_rows)) for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    band = F.floor(F.log(length) / F.lit(np.log(BAND)) + 0.5).cast("int")
+    banded = vectors.withColumn("dim", F.size("v")).withColumn("band", band)
+    # a row for each dimension and band: a double's range has some ten thousand bands
+    sizes = [(r["dim"], r["band"], r["n"]) for r in banded.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not sizes:
         return vectors.sparkSession.createDataFrame([], INDEX)
-    many = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    dealt = vectors.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.element_at(many, F.col("dim"))).cast("int"))
+    total, plan, next_shard = Counter(), [], Counter()
+    for dim, _, n in sizes:
+        total[dim] += n
+    for dim, at, n in sorted(sizes):
+        many = max(-(-n // shard_rows), -(-MIN_SHARDS * n // total[dim]))
+        plan.append((dim, at, next_shard[dim], many))
+        next_shard[dim] += many
+    plan = vectors.sparkSession.createDataFrame(plan, "dim int, band int, first int, many int")
+    dealt = banded.join(F.broadcast(plan), ["dim", "band"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         dim, shard = t.column("dim")[0].as_py(), t.column("shard")[0].as_py()
@@ -246,57 +267,71 @@ def _lift(nodes: np.ndarray) -> np.ndarray:
 def search(queries: DataFrame, shards: DataFrame, k: int, block: int = QUERY_BLOCK, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each of ``queries`` (id, v) over all shards."""
     spark = queries.sparkSession
-    n_shards = {r["dim"]: r["n"] for r in shards.groupBy("dim").agg((F.max("shard") + 1).alias("n")).collect()}
-    blocks = max(1, -(-queries.count() // block))
-    shape = "query_id long, vec_id long, score double"
-    if not n_shards:
+    shards = shards.select("*", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<double>").alias("q"))
+    here = {r["dim"]: r["shards"] for r in shards.groupBy("dim").agg(F.sort_array(F.collect_set("shard")).alias("shards")).collect()}
+    if not here:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def gather(t: pa.Table) -> pa.Table:
-        dim, b = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([b], pa.int32()), "qids": pa.array([t.column("id").to_numpy()], pa.list_(pa.int64())), "queries": pa.array([_stack(t.column("v")).tobytes()], pa.binary())})
-
-    dealt = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = dealt.select("dim", "block", "id", "v").groupBy("dim", "block").applyInArrow(gather, "dim int, block int, qids array<long>, queries binary")
-    many = F.create_map(*[F.lit(x) for kv in n_shards.items() for x in kv])
-    left = rows.where(F.element_at(many, F.col("dim")).isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), F.element_at(many, F.col("dim")) - 1).cast("array<int>")))
-    right = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
-    pairs = left.join(right, ["dim", "shard", "block"])
+    blocks = max(1, -(-queries.count() // block))
+    rows = queries.withColumn("dim", F.size("v")).where(F.col("dim").isin(list(here)))
+    named = F.create_map(*[x for dim, ids in here.items() for x in (F.lit(dim), F.array(*map(F.lit, ids)))])
+    asked = rows.select("dim", F.explode(F.element_at(named, F.col("dim"))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("id").alias("qid"), F.col("v").alias("q"))
+    held = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
+    keys = ["dim", "shard", "block"]
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(sum(map(len, here.values())) * blocks, *keys).sortWithinPartitions(*keys, "kind")
+    columns = both.columns
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
-                dim = row["dim"].as_py()
-                nodes = np.frombuffer(row["vectors"].as_py(), np.float64).reshape(-1, dim)
-                ids, at = np.asarray(row["ids"].values.to_numpy()), np.asarray(row["at"].values.to_numpy())
-                level = np.frombuffer(row["level"].as_py(), np.int64)
-                layers = [np.frombuffer(x, np.int32).reshape(len(nodes), -1) for x in row["layers"].as_py()]
-                q, qids = np.frombuffer(row["queries"].as_py(), np.float64).reshape(-1, dim), np.asarray(row["qids"].values.to_numpy())
-                g = Graph(_lift(nodes), layers, level, 0)
-                lifted = np.column_stack([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros(len(q))]).astype(np.float32)
-                got = g.search(lifted, max(beam, k + 1))
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(q)):
-                    found = got[i][got[i] >= 0]
-                    score = (nodes[found] * q[i]).sum(axis=1)
-                    # of equal vectors only the k + 1 smallest ids can matter
-                    part = [ids[at[f] : min(at[f + 1], at[f] + k + 1)] for f in found]
-                    vec = np.concatenate(part)
-                    s = np.repeat(score, [len(p) for p in part])
-                    other = vec != qids[i]
-                    vec, s = vec[other], s[other]
-                    best = np.lexsort((vec, -s))[:k]
-                    out_q.append(np.full(len(best), qids[i]))
-                    out_v.append(vec[best])
-                    out_s.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, shape)
+            kind = batch.column(columns.index("kind")).to_numpy()
+            cut = np.flatnonzero(kind == 0)
+            # queries of the shard that was read last come first, then each shard with its own
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if a < b and kind[a] == 0:
+                    shard = Shard({name: batch.column(i)[a] for i, name in enumerate(columns)})
+                    a += 1
+                for at in range(a, b, IN_STEP):
+                    part = batch.slice(at, min(IN_STEP, b - at))
+                    found = shard.best(part.column(columns.index("qid")).to_numpy(), _stack(part.column(columns.index("q"))), k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=schema)
+
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Shard:
+    """A row of the index, ready to be searched."""
+
+    def __init__(self, row: dict):
+        dim = row["dim"].as_py()
+        self.nodes = np.frombuffer(row["vectors"].as_py(), np.float64).reshape(-1, dim)
+        self.ids, self.at = np.asarray(row["ids"].values.to_numpy()), np.asarray(row["at"].values.to_numpy())
+        layers = [np.frombuffer(x, np.int32).reshape(len(self.nodes), -1) for x in row["layers"].as_py()]
+        self.graph = Graph(_lift(self.nodes), layers, np.frombuffer(row["level"].as_py(), np.int64), 0)
+
+    def best(self, qids: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, exact score) of the k best of each query."""
+        lifted = np.column_stack([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros(len(q))]).astype(np.float32)
+        got = self.graph.search(lifted, beam_for(len(self.nodes), max(beam, k + 1)))
+        out_q, out_v, out_s = [], [], []
+        for i in range(len(q)):
+            found = got[i][got[i] >= 0]
+            score = (self.nodes[found] * q[i]).sum(axis=1)
+            # of equal vectors only the k + 1 smallest ids can matter
+            part = [self.ids[self.at[f] : min(self.at[f + 1], self.at[f] + k + 1)] for f in found]
+            vec = np.concatenate(part)
+            s = np.repeat(score, [len(p) for p in part])
+            other = vec != qids[i]
+            vec, s = vec[other], s[other]
+            best = np.lexsort((vec, -s))[:k]
+            out_q.append(np.full(len(best), qids[i]))
+            out_v.append(vec[best])
+            out_s.append(s[best])
+        return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest rows, by inner product, of each row whose id is divisible by ``every``."""
     v = F.col(f"`{vector_col}`")

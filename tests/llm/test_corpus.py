@@ -503,6 +503,27 @@ def test_neighbours(spark):
     assert hnsw.nearest(df.where("1 = 0")).count() == 0
 
 
+def test_recall_in_large_shards(spark):
+    """20,000 vectors of very different lengths, by brute force, in shards of many times the beam."""
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=(20_000, 64)) * np.exp(0.5 * rng.normal(size=(20_000, 1)))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in hnsw.nearest(df, every=200, shard_rows=5000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 20_000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 2000
+    # one graph over as many vectors of one length
+    u = x[:6000] / np.linalg.norm(x[:6000], axis=1, keepdims=True)
+    found = hnsw.Graph.build(hnsw._lift(u)).search(np.column_stack([u[:100], np.zeros(100)]).astype(np.float32), hnsw.beam_for(6000, hnsw.SEARCH_BEAM))
+    best = np.argsort(-(u[:100] @ u.T), axis=1)[:, :21]
+    assert sum(len(set(f.tolist()) & set(b.tolist())) for f, b in zip(found, best, strict=True)) >= 0.9 * best.size
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(name, spark, duck):
     same(queries.QUERIES[name](spark, str(DATA)), duck.sql(queries.ORACLE[name]))
