@@ -122,10 +122,32 @@ def gc_by_position(s: Column) -> Column:
     return F.when(s.isNotNull(), F.struct(total.alias("all"), *[share(count(x, "GC"), count(x, "ACGT")).alias(name) for name, x in zip(("first", "second", "third"), at, strict=True)]))
 
 
+def letters_of(s: Column) -> Column:
+    """The letters of a sequence as an array: places in it are found at once, not by walking the text."""
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def _windows(s: Column, size: int, step: int, f, short: bool = False) -> Column:
-    """``f`` of each window; the last ones may be shorter if ``short``."""
-    last = F.char_length(s) - (1 if short else size)
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: f(F.substring(s, i + 1, F.lit(size))))).otherwise(F.when(s.isNotNull(), F.array().cast("array<double>")))
+    """``f`` of each window's text; the last ones may be shorter if ``short``."""
+
+    def cut(letters: Column) -> Column:
+        last = F.size(letters) - (1 if short else size)
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda i: let(F.array_join(F.slice(letters, i + 1, F.lit(size)), ""), f))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<double>"))
+
+    return F.when(s.isNotNull(), let(letters_of(s), cut))
+
+
+def _scored(s: Column, table: dict[str, float], size: int, f) -> Column:
+    """``f`` of each window of ``size`` residue values, given as a function from the place in the window."""
+    # a place for each code from A on is found at once, a map is searched
+    values = F.array(*[F.lit(table.get(chr(65 + k))).cast("double") for k in range(26)])
+
+    def cut(v: Column) -> Column:
+        last = F.size(v) - size
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: f(lambda j: F.get(v, i + j)))).otherwise(F.array().cast("array<double>"))
+
+    return F.when(s.isNotNull(), let(F.transform(letters_of(s), lambda c: F.get(values, F.ascii(c) - 65)), cut))
 
 
 def gc_skew_windows(s: Column, window: int = 100) -> Column:
@@ -153,10 +175,14 @@ def complexity_windows(s: Column, size: int) -> Column:
 
 def find_all(s: Column, pattern: str) -> Column:
     """0-based places at which an IUPAC subsequence starts, overlapping ones too."""
-    u, n = F.upper(s), len(pattern)
-    last = F.char_length(u) - n
-    places = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(u, i + 1, F.lit(n)).rlike(f"^(?:{iupac_regex(pattern)})$"))
-    return F.when(last >= 0, places).otherwise(F.when(s.isNotNull(), F.array().cast("array<int>")))
+    n, form = len(pattern), f"^(?:{iupac_regex(pattern)})$"
+    none = F.array().cast("array<int>")
+
+    def places(letters: Column) -> Column:
+        last = F.size(letters) - n
+        return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(letters, i + 1, F.lit(n)), "").rlike(form))).otherwise(none)
+
+    return F.when(s.isNotNull(), let(letters_of(F.upper(s)), places))
 
 
 def six_frames(s: Column, code: str = STANDARD_CODE) -> Column:
@@ -341,39 +367,39 @@ def residue_scale(s: Column, table: dict[str, float], window: int, edge: float =
     half = window // 2
     step = 2 * (1 - edge) / (window - 1) if window > 1 else 0.0
     weights = [edge + step * j for j in range(half)]
-    scale = _map(table)
 
-    def score(w: Column) -> Column:
-        at = lambda j: F.element_at(scale, F.substring(w, j + 1, 1))
+    def score(at) -> Column:
         total = F.coalesce(at(half), F.lit(0.0))
         for j, weight in enumerate(weights):
             total = total + F.coalesce((at(j) + at(window - 1 - j)) * weight, F.lit(0.0))
         return total / (2 * sum(weights) + 1)
 
-    return _windows(F.upper(s), window, 1, score)
+    return _scored(F.upper(s), table, window, score)
 
 
 def flexibility(s: Column) -> Column:
     """Flexibility of each window of nine but the last; the letter after the middle counts as the middle."""
-    scale, u = _map(FLEXIBILITY), F.upper(s)
+    u = F.upper(s)
 
-    def score(w: Column) -> Column:
-        at = lambda j: F.element_at(scale, F.substring(w, j + 1, 1))
+    def score(at) -> Column:
         total = at(5)
         for j, weight in enumerate(FLEXIBILITY_WEIGHTS):
             total = total + (at(j) + at(8 - j)) * weight
         return total / 5.25
 
-    return _windows(F.left(u, F.char_length(u) - 1), 9, 1, score)
+    return _scored(F.left(u, F.char_length(u) - 1), FLEXIBILITY, 9, score)
 
 
 def instability(s: Column, weights: dict[str, float]) -> Column:
     """10 / length times the sum of the dipeptides' ``weights``; null if one is missing or the sequence is empty."""
-    u, table = F.upper(s), _map(weights)
-    n = F.char_length(u)
-    places = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    values = F.transform(places, lambda i: F.element_at(table, F.substring(u, i, F.lit(2))))
-    return F.when(n > 0, 10.0 / n * F.aggregate(values, F.lit(0.0), lambda a, x: a + x))
+    table = _map(weights)
+
+    def solve(letters: Column) -> Column:
+        n = F.size(letters)
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, 2), ""))).otherwise(F.array().cast("array<string>"))
+        return F.when(n > 0, 10.0 / n * F.aggregate(F.transform(pairs, lambda x: F.element_at(table, x)), F.lit(0.0), lambda a, x: a + x))
+
+    return let(letters_of(F.upper(s)), solve)
 
 
 def residue_counts(s: Column, letters: str = "ACDEFGHIKLMNPQRSTVWY") -> Column:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from helixframe.runtime import discard, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(node, component): every node of an edge with the smallest node it can reach.
 
     Alternating large-star and small-star rounds; each is written to a scratch table, so
     the plan stays flat and a lost executor costs one round's tasks at most.  Nothing is
-    gathered on the driver but one checksum a round.  Edges with a null end are ignored;
-    a self-loop makes its node a component.
+    gathered on the driver but one checksum of 128 bits a round, and rounds end when a round
+    changes no edge; ``max_rounds`` rounds without an end are an error.  Edges with a null end
+    are ignored; a self-loop makes its node a component.
     """
     raw = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     e = materialize(raw.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", free=False)
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min", free=False)
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
         small = materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "cc", free=False)
-        mark = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        mark = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
         discard(low, large, low2)
         if now is not first and hasattr(now, "_scratch_path"):
             discard(now)
@@ -37,6 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components do not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(roots).unionByName(loops.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
@@ -54,12 +57,12 @@ def cluster_labels(edges: DataFrame, nodes: DataFrame, lower: float) -> DataFram
     return full.join(sizes.select("component", order.cast("long").alias("cluster")), "component").select("id", "cluster")
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """The maximum spanning forest of edges (i, j, score), i < j, by rounds of Boruvka.
 
     In a round, every component takes its best edge to another one; ties are broken by
     (i, j), which makes the order total and the forest unique.  Edges inside a component
-    are dropped, so the table shrinks with the rounds.
+    are dropped, so the table shrinks with the rounds; components at least halve in each.
     """
     now = materialize(edges.where("i <> j AND score <> 0").select(F.col("i").alias("a"), F.col("j").alias("b"), "i", "j", "score"), "mst", free=False)
     out = None
@@ -76,6 +79,8 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         b = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         moved = now.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "i", "j", "score").where("a <> b")
         now = materialize(moved, "mst", free=False)
+    else:
+        raise RuntimeError(f"a forest is not complete after {max_rounds} rounds")
     if out is None:
         return edges.select("i", "j", "score").limit(0)
     return materialize(out.distinct(), "mst-edges", free=False)

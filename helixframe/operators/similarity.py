@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.runtime import barrier
+from helixframe.runtime import barrier, materialize
 
 #: From this bound on, rare features decide; below it nearly all features would be rare enough.
 PREFIX_FROM = 0.3
+#: A feature that one record in so many holds is common; records of a block of common features.
+COMMON, BLOCK = 8, 512
 METRICS = ("jaccard", "max_containment", "min_containment")
 
 
@@ -26,13 +28,45 @@ def _score(metric: str) -> Column:
     return F.col("shared") / below
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(i, j, shared) for i < j of (r, f): how many features two records have in common.
+
+    Rare features are joined.  A common one, which an eighth of the records hold, would join
+    with the square of them: common features are bits of a bitmap, and records are compared
+    by blocks, 64 features at a time.
+    """
+    n = rows.select("r").distinct().count()
+    often = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * COMMON >= n)
+    # at most COMMON times the mean number of a record's features
+    bits = materialize(often.select("f", (F.row_number().over(Window.orderBy("f")) - 1).alias("bit")), "common-features", free=False)
+    width = bits.count()
+    a, b = (rows.join(bits.hint("merge"), "f", "left_anti").select(F.col("r").alias(x), "f") for x in "ij")
+    rare = a.join(b, "f").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
+    if not width:
+        return rare
+    words = -(-width // 64)
+    held = rows.join(bits, "f").groupBy("r", F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
+    maps = held.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    maps = maps.select("r", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("m"))
+    maps = materialize(maps, "common-bits", free=False)
+    blocks = max(1, -(-n // BLOCK))
+    own = F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int")
+    dealt = maps.select("r", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    keyed = dealt.select("r", "m", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    left = keyed.where("own = x").select("x", "y", F.col("r").alias("i"), F.col("m").alias("p"))
+    right = keyed.where("own = y").select("x", "y", F.col("r").alias("j"), F.col("m").alias("q"))
+    met = left.join(right, ["x", "y"]).where("i <> j AND (x <> y OR i < j)")
+    both = F.aggregate(F.zip_with("p", "q", lambda u, v: F.bit_count(u.bitwiseAND(v))), F.lit(0).cast("long"), lambda acc, k: acc + k)
+    common = met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), both.alias("shared")).where("shared > 0")
+    return rare.unionByName(common).groupBy("i", "j").agg(F.sum("shared").alias("shared"))
+
+
 def pairs(features: DataFrame, record: str = "record", feature: str = "feature", metric: str = "jaccard", lower: float = 0.0) -> DataFrame:
     """(i, j, score) for i < j with a score over 0 and over ``lower``."""
     rows = features.select(F.col(record).alias("r"), F.col(feature).alias("f")).where("r IS NOT NULL AND f IS NOT NULL").distinct()
     sizes = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
     if lower < PREFIX_FROM or metric == "max_containment":
-        a, b = rows.select(F.col("r").alias("i"), "f"), rows.select(F.col("r").alias("j"), "f")
-        shared = a.join(b, "f").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
+        shared = _shared(rows)
     else:
         often = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
         ranked = rows.join(often, "f").join(sizes, "r").withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("df", "f")))
@@ -48,7 +82,8 @@ def pairs(features: DataFrame, record: str = "record", feature: str = "feature",
 
 def both_ways(edges: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Edges i < j to the full matrix: both directions, and 1.0 on the diagonal of ``records`` (id)."""
-    out = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "score"))
+    # one pass over the edges: a union with their own flip would make them twice
+    out = edges.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), "score").select("e.*", "score")
     if records is not None:
         out = out.unionByName(records.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score")))
     return out

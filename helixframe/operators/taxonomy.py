@@ -17,19 +17,24 @@ from helixframe.runtime import materialize
 UNKNOWN = 32644
 
 
-def closure(nodes: DataFrame, max_rounds: int = 12) -> DataFrame:
-    """(taxid, ancestor, depth), each node its own ancestor at depth 0; the root is its own parent."""
+def closure(nodes: DataFrame, max_rounds: int = 24) -> DataFrame:
+    """(taxid, ancestor, depth), each node its own ancestor at depth 0; the root is its own parent.
+
+    A cycle of parents is an error.
+    """
     reach = nodes.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("depth"))
     step = nodes.where("taxid <> parent").select("taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     paths = materialize(reach.unionByName(step), "closure", free=False)
     span = 1
-    for _ in range(max_rounds):
+    for _ in range(max_rounds):  # 2 ** max_rounds levels
         far = paths.where(F.col("depth") == span).select("taxid", F.col("ancestor").alias("mid"))
         if far.isEmpty():
             break
         more = far.join(paths.where("depth > 0").select(F.col("taxid").alias("mid"), "ancestor", F.col("depth").alias("d")), "mid")
         paths = materialize(paths.unionByName(more.select("taxid", "ancestor", (F.col("d") + span).alias("depth"))), "closure", free=False)
         span *= 2
+    else:
+        raise ValueError(f"a taxonomy deeper than {span}, or with a cycle")
     return paths
 
 

@@ -103,23 +103,23 @@ def profile_select(spark, d):
     return a.distinct().select("p_partkey", "p_name")
 
 
-@query(f"WITH {OR} SELECT a.record, a.idx AS focus_idx, b.idx - a.idx AS \"offset\", b.idx, b.id FROM o a JOIN o b ON a.record = b.record AND abs(b.idx - a.idx) <= 2 WHERE a.name = 'purchase' AND a.id % 5 = 0")
+@query(f"WITH {OR} SELECT a.record, a.idx AS focus_idx, b.idx - a.idx AS \"offset\", b.idx, b.id FROM o a JOIN o b ON a.record = b.record AND abs(b.idx - a.idx) <= 2 WHERE a.name = 'purchase'")
 def neighborhood_rows(spark, d):
-    focus = (F.col("name") == "purchase") & (F.col("id") % 5 == 0)
+    focus = F.col("name") == "purchase"
     got = windows.neighbourhood_rows(T.ordered(spark, d), "record", focus, 2)
     return got.select("record", "focus_idx", F.col("offset").cast("long").alias("offset"), "idx", "id")
 
 
-@query(f"WITH {OR}, z AS (SELECT record, count(*) AS size FROM o GROUP BY 1), n AS (SELECT a.record, a.idx AS focus_idx, size, unnest(range(-least(2, (size - 1) // 2), least(2, size - 1 - least(2, (size - 1) // 2)) + 1)) AS k FROM o a JOIN z USING (record) WHERE a.name = 'purchase' AND a.id % 5 = 0) SELECT n.record, n.focus_idx, n.k AS \"offset\", b.id FROM n JOIN o b ON b.record = n.record AND b.idx = ((n.focus_idx + n.k) % size + size) % size")
+@query(f"WITH {OR}, z AS (SELECT record, count(*) AS size FROM o GROUP BY 1), n AS (SELECT a.record, a.idx AS focus_idx, size, unnest(range(-least(2, (size - 1) // 2), least(2, size - 1 - least(2, (size - 1) // 2)) + 1)) AS k FROM o a JOIN z USING (record) WHERE a.name = 'purchase') SELECT n.record, n.focus_idx, n.k AS \"offset\", b.id FROM n JOIN o b ON b.record = n.record AND b.idx = ((n.focus_idx + n.k) % size + size) % size")
 def neighborhood_circular(spark, d):
-    focus = (F.col("name") == "purchase") & (F.col("id") % 5 == 0)
+    focus = F.col("name") == "purchase"
     got = windows.neighbourhood_rows(T.ordered(spark, d), "record", focus, 2, circular=True)
     return got.select("record", "focus_idx", F.col("offset").cast("long").alias("offset"), "id")
 
 
-@query(f"WITH {OR} SELECT a.record, a.idx AS focus_idx, b.id FROM o a JOIN o b ON a.record = b.record AND b.start < a.\"end\" + 3600 AND b.\"end\" > a.start - 1800 WHERE a.name = 'purchase' AND a.id % 5 = 0")
+@query(f"WITH {OR} SELECT a.record, a.idx AS focus_idx, b.id FROM o a JOIN o b ON a.record = b.record AND b.start < a.\"end\" + 3600 AND b.\"end\" > a.start - 1800 WHERE a.name = 'purchase'")
 def neighborhood_range(spark, d):
-    focus = (F.col("name") == "purchase") & (F.col("id") % 5 == 0)
+    focus = F.col("name") == "purchase"
     return windows.neighbourhood_range(T.ordered(spark, d), "record", focus, 1800, 3600).select("record", "focus_idx", "id")
 
 

@@ -107,7 +107,10 @@ def sequence_checksums(spark, d):
     return proteins(spark, d).select("id", S.seguid(F.col("aa")).alias("seguid"), S.gcg_checksum(F.col("aa")).alias("gcg"))
 
 
-@query()
+_THREE = ", ".join(f"'{k}': '{v}'" for k, v in S.THREE.items())
+
+
+@query(f"WITH {AA} SELECT id, CASE WHEN aa = '' THEN '' ELSE array_to_string(list_transform(string_split(aa, ''), lambda c: MAP {{{_THREE}}}[c]), '') END AS aa3, aa AS back FROM p")
 def three_letter(spark, d):
     got = proteins(spark, d).select("id", S.seq3(F.col("aa")).alias("aa3"))
     return got.select("id", "aa3", S.seq1(F.col("aa3")).alias("back"))
@@ -124,7 +127,19 @@ def kmer_dna(spark, d):
     return similarity.kmers(order_sequences(spark, d), "id", "seq", 3, "dna")
 
 
-@query()
+def _motif_sql(name: str, pattern: str) -> str:
+    """Matches by their places: what lies between two matches, and the matches, by running length."""
+    return f"""SELECT id, '{name}' AS motif, list_transform(regexp_extract_all(aa, '(?s)(.*?)({S.prosite_regex(pattern)})', 1), lambda x: length(x)) AS gaps,
+list_transform(regexp_extract_all(aa, '(?s)(.*?)({S.prosite_regex(pattern)})', 2), lambda x: length(x)) AS sizes FROM p"""
+
+
+_MOTIFS = f"""WITH {AA}, m AS ({_motif_sql('PKC', '[ST]-x-[RK]')} UNION ALL {_motif_sql('ASN', 'N-{P}-[ST]-{P}')}),
+u AS (SELECT id, motif, unnest(gaps) AS gap, unnest(sizes) AS size, generate_subscripts(gaps, 1) AS k FROM m WHERE len(gaps) > 0),
+r AS (SELECT *, sum(gap + size) OVER (PARTITION BY id, motif ORDER BY k) AS upto FROM u)
+SELECT id AS record, motif, CAST(upto - size AS INT) AS start, CAST(upto AS INT) AS "end", 100.0::DOUBLE AS score FROM r"""
+
+
+@query(_MOTIFS)
 def motif_search(spark, d):
     return search.motifs(proteins(spark, d), "id", "aa", {"PKC": "[ST]-x-[RK]", "ASN": "N-{P}-[ST]-{P}"})
 
@@ -197,12 +212,35 @@ def subsequence_places(spark, d):
     return places.select("id", F.size("at").cast("long").alias("n"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+def _frame_sql(seq: str, k: int) -> str:
+    return f"coalesce(array_to_string(list_transform(range(0, (length({seq}) - {k}) // 3), lambda i: t[substring({seq}, CAST(3 * i + {k + 1} AS BIGINT), 3)]), ''), '')"
+
+
+_FRAMES = ", ".join(f"{_frame_sql(x, k)} AS {name}{k + 1}" for name, x in (("f", "seq"), ("r", "back")) for k in range(3))
+
+
+@query(f"WITH {SEQ}, m AS (SELECT MAP {{{_CODONS}}} AS t), b AS (SELECT id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS back, t FROM s, m) SELECT id, {_FRAMES} FROM b")
 def six_frames(spark, d):
     return order_sequences(spark, d).select("id", C.six_frames(F.col("seq")).alias("f")).select("id", "f.*")
 
 
-@query()
+def _list_sql(table: dict) -> str:
+    return "list_transform(string_split(aa, ''), lambda c: MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in table.items()) + "}[c])"
+
+
+def _window_sql(values: str, last: str, weights, middle: int, divisor: float) -> str:
+    """The windows of nine of a list of values: pairs from the ends inwards and one in the middle."""
+    pairs = " + ".join(f"({values}[i + {j + 1}] + {values}[i + {9 - j}]) * {w}::DOUBLE" for j, w in enumerate(weights))
+    return f"list_transform(range(0, greatest({last}, 0)), lambda i: ({values}[i + {middle + 1}] + {pairs}) / {divisor}::DOUBLE)"
+
+
+_HYDRO_WEIGHTS = [0.4 + 0.15 * j for j in range(4)]
+_PROFILES = f"""WITH {AA}, v AS (SELECT id, length(aa) AS n, {_list_sql(C.FLEXIBILITY)} AS fv, {_list_sql(S.HYDROPATHY)} AS hv FROM p),
+w AS (SELECT id, {_window_sql('fv', 'n - 9', C.FLEXIBILITY_WEIGHTS, 5, 5.25)} AS f, {_window_sql('hv', 'n - 8', _HYDRO_WEIGHTS, 4, 2 * sum(_HYDRO_WEIGHTS) + 1)} AS h FROM v)
+SELECT id, CAST(len(f) AS INT) AS n_flex, round(list_max(f), 6) AS flex, CAST(len(h) AS INT) AS n_hydro, round(list_max(h), 6) AS hydro FROM w"""
+
+
+@query(_PROFILES)
 def protein_profiles(spark, d):
     """Flexibility and hydropathy in windows of nine: how many, and the highest."""
     aa = F.col("aa")
