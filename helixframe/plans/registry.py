@@ -26,6 +26,7 @@ def load() -> None:
     from helixframe.plans import (  # noqa: F401
         graph_queries,
         hit_queries,
+        nested_queries,
         record_queries,
         sequence_queries,
     )
