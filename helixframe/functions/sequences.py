@@ -94,6 +94,47 @@ def ungap(s: Column, gap: str = "-") -> Column:
     return F.replace(s, F.lit(gap), F.lit(""))
 
 
+def starts_with(s: Column, *subs: str, start: int = 0) -> Column:
+    """Whether any of ``subs`` stands at place ``start``."""
+    rest = F.substring(s, F.lit(start + 1), F.char_length(s))
+    return F.greatest(*[F.startswith(rest, F.lit(x)) for x in subs], F.lit(False))
+
+
+def ends_with(s: Column, *subs: str) -> Column:
+    return F.greatest(*[F.endswith(s, F.lit(x)) for x in subs], F.lit(False))
+
+
+def split(s: Column, sep: str | None = None, most: int = -1) -> Column:
+    """Pieces between ``sep``, at most ``most`` cuts; without it between runs of white space, none of them empty."""
+    import re
+
+    if sep is None:
+        return F.filter(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ", most + 1 if most >= 0 else -1), lambda x: x != "")
+    return F.split(s, re.escape(sep), most + 1 if most >= 0 else -1)
+
+
+def strip(s: Column, chars: str = " \t\n\r\x0b\x0c", side: str = "both") -> Column:
+    cut = {"both": F.trim, "left": F.ltrim, "right": F.rtrim}[side]
+    return cut(s, F.lit(chars))
+
+
+def upper(s: Column) -> Column:
+    return F.upper(s)
+
+
+def lower(s: Column) -> Column:
+    return F.lower(s)
+
+
+def replace(s: Column, old: str, new: str) -> Column:
+    return F.replace(s, F.lit(old), F.lit(new))
+
+
+def join(parts: Column, sep: str = "") -> Column:
+    """An array of sequences as one."""
+    return F.array_join(parts, sep)
+
+
 def codon_table(code: str = STANDARD_CODE) -> dict[str, str]:
     return {a + b + c: code[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
 

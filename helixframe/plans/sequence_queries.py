@@ -251,3 +251,11 @@ def protein_profiles(spark, d):
 @query()
 def sequence_crc(spark, d):
     return order_sequences(spark, d).select("id", F.crc32(F.col("seq").cast("binary")).alias("crc32"), C.crc64(F.col("seq")).alias("crc64"))
+
+
+@query(f"WITH {SEQ} SELECT id, starts_with(seq, 'AC') OR starts_with(seq, 'C') AS head, ends_with(seq, 'T') AS tail, string_split(seq, 'C') AS pieces, trim(seq, 'A') AS stripped, rtrim(seq, 'AC') AS right_stripped, lower(seq) AS small, replace(seq, 'CC', 'g') AS swapped, array_to_string(string_split(seq, 'C'), '-') AS joined FROM s")
+def sequence_text(spark, d):
+    """The text methods of sequences."""
+    q = F.col("seq")
+    got = order_sequences(spark, d)
+    return got.select("id", S.starts_with(q, "AC", "C").alias("head"), S.ends_with(q, "T").alias("tail"), S.split(q, "C").alias("pieces"), S.strip(q, "A").alias("stripped"), S.strip(q, "AC", "right").alias("right_stripped"), S.lower(q).alias("small"), S.replace(q, "CC", "g").alias("swapped"), S.join(S.split(q, "C"), "-").alias("joined"))

@@ -102,8 +102,15 @@ def parse_genbank(block: str) -> dict | None:
     out["description"] = " ".join(about).rstrip(".")
     out["seq"] = "".join(seq).upper()
     out["length"] = len(out["seq"]) or int(words[2])
-    for f in out["features"]:
-        f["operator"], f["parts"] = parse_location(f.pop("place"))
+    features, out["problems"], out["features"] = out["features"], [], []
+    for f in features:
+        place = f.pop("place")
+        try:
+            f["operator"], f["parts"] = parse_location(place)
+        except ValueError:
+            out["problems"].append((f["type"], place))
+            continue
+        out["features"].append(f)
         f["qualifiers"] = {k: [v.strip().strip('"') for v in vs] for k, vs in f["qualifiers"].items()}
         for x in f["qualifiers"].get("db_xref", []):
             if f["type"] == "source" and x.startswith("taxon:") and out["taxid"] is None:
@@ -111,8 +118,75 @@ def parse_genbank(block: str) -> dict | None:
     return out
 
 
+def genbank_problems(spark: SparkSession, path) -> DataFrame:
+    """(record_id, type, place): the features that ``genbank`` leaves out because their location cannot be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["record_id"], *x) for r in (parse_genbank((v or "").replace("\r", "")) for v in batch.column(0).to_pylist()) if r for x in r["problems"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["record_id", "type", "place"])
+
+    return _blocks(spark, path, "\n//").select("value").mapInArrow(run, "record_id string, type string, place string")
+
+
+def fasta_two_line(spark: SparkSession, path) -> DataFrame:
+    """Like ``fasta`` for files in which each record is a title line and one line of sequence; others are an error."""
+    raw = _blocks(spark, path, "\n>")
+    lines = F.split(F.rtrim(F.regexp_replace(F.regexp_replace("value", r"\r", ""), "^>", ""), F.lit("\n")), "\n")
+    bad = F.size(lines) != 2
+    checked = raw.select(F.when(bad, F.raise_error(F.concat(F.lit("not two lines: "), F.substring("value", 1, 60)))).otherwise(lines).alias("x"), "file")
+    head, seq = F.col("x")[0], F.col("x")[1]
+    rows = checked.select(F.regexp_extract(head, r"^(\S*)", 1).alias("record_id"), F.trim(F.regexp_extract(head, r"^\S*\s*(.*)$", 1)).alias("description"), seq.alias("seq"), "file")
+    return rows.select("record_id", "description", F.length("seq").alias("length"), "seq", "file")
+
+
+def tab(spark: SparkSession, path) -> DataFrame:
+    """(record_id, description, length, seq, file) of lines ``title<tab>sequence``; blank lines are passed over."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    x = F.split("value", "\t")
+    checked = raw.select(F.when(F.size(x) != 2, F.raise_error(F.concat(F.lit("not a title and a sequence: "), F.substring("value", 1, 60)))).otherwise(x).alias("x"), "file")
+    title, seq = F.trim(F.col("x")[0]), F.trim(F.col("x")[1])
+    return checked.select(title.alias("record_id"), F.lit("").alias("description"), F.length(seq).alias("length"), seq.alias("seq"), "file")
+
+
+SWISS = "record_id string, name string, accessions array<string>, description string, gene_name string, organism string, lineage array<string>, taxid int, keywords array<string>, dbxrefs array<string>, comments string, created string, existence string, length int, seq string"
+
+
+def swissprot(spark: SparkSession, path) -> DataFrame:
+    """Protein entries of Swiss-Prot flat files, native: the lines of each code are joined; see SWISS."""
+    raw = _blocks(spark, path, "\n//").where(F.col("value").rlike(r"(?m)^ID\s"))
+    lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
+    of = lambda code: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(code + "   "))), lambda x: F.trim(F.substring(x, F.lit(6), F.char_length(x))))
+    text = lambda code: F.array_join(of(code), " ")
+    parted = lambda c: F.filter(F.transform(F.split(F.regexp_replace(c, r"\.\s*$", ""), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    seq = F.regexp_replace(F.regexp_extract(F.concat(F.regexp_replace("value", r"\r", ""), F.lit("\n")), r"(?s)\nSQ   [^\n]*\n(.*)$", 1), r"\s", "")
+    refs = F.transform(of("DR"), lambda x: F.array_join(F.transform(F.slice(F.split(x, ";"), 1, 2), lambda y: F.trim(F.regexp_replace(y, r"\.\s*$", ""))), ":"))
+    comments = F.array_join(F.transform(of("CC"), lambda x: x), "\n")
+    return raw.select(
+        F.get(parted(text("AC")), F.lit(0)).alias("record_id"),
+        F.regexp_extract(text("ID"), r"^(\S+)", 1).alias("name"),
+        parted(text("AC")).alias("accessions"),
+        some(text("DE")).alias("description"),
+        some(text("GN")).alias("gene_name"),
+        some(F.regexp_replace(text("OS"), r"\.$", "")).alias("organism"),
+        parted(text("OC")).alias("lineage"),
+        F.nullif(F.regexp_extract(text("OX"), r"NCBI_TaxID=(\d+)", 1), F.lit("")).cast("int").alias("taxid"),
+        parted(text("KW")).alias("keywords"),
+        F.array_distinct(refs).alias("dbxrefs"),
+        some(comments).alias("comments"),
+        F.nullif(F.regexp_extract(text("DT"), r"^([^,]+),", 1), F.lit("")).alias("created"),
+        some(F.regexp_extract(text("PE"), r"^(\d)", 1)).alias("existence"),
+        F.length(seq).alias("length"),
+        seq.alias("seq"),
+    )
+
+
 def genbank(spark: SparkSession, path) -> DataFrame:
-    """Records with their features; see RECORDS."""
+    """Records with their features; see RECORDS.
+
+    A feature whose location cannot be read is left out, see ``genbank_problems``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32()), ("before", pa.bool_()), ("after", pa.bool_())])

@@ -48,6 +48,51 @@ def test_fasta_round_trip(spark, tmp_path):
     assert [(r.record_id, r.description, r.seq) for r in got] == rows
 
 
+SWISS = """ID   CH_ONE              Reviewed;          12 AA.
+AC   P00001; Q00002;
+DT   01-JAN-2000, integrated into UniProtKB/Swiss-Prot.
+DE   RecName: Full=A protein;
+DE            Short=AP;
+GN   Name=abc;
+OS   Escherichia coli.
+OC   Bacteria; Proteobacteria.
+OX   NCBI_TaxID=562 {ECO:1};
+DR   PDB; 1ABC; X-ray.
+DR   Pfam; PF00001; Name; 1.
+PE   1: Evidence at protein level;
+KW   Kinase; Membrane.
+SQ   SEQUENCE   12 AA;  1000 MW;  0 CRC64;
+     MKTAYIAKQR
+     QI
+//
+"""
+
+
+def test_swissprot(spark, tmp_path):
+    (tmp_path / "a.dat").write_text(SWISS + SWISS.replace("P00001", "P00009"))
+    got = readers.swissprot(spark, str(tmp_path / "a.dat")).orderBy("record_id").collect()
+    assert [r.record_id for r in got] == ["P00001", "P00009"]
+    r = got[0]
+    assert (r.name, r.accessions, r.organism, r.lineage, r.taxid, r.keywords, r.seq, r.length) == ("CH_ONE", ["P00001", "Q00002"], "Escherichia coli", ["Bacteria", "Proteobacteria"], 562, ["Kinase", "Membrane"], "MKTAYIAKQRQI", 12)
+    assert r.dbxrefs == ["PDB:1ABC", "Pfam:PF00001"] and r.description == "RecName: Full=A protein; Short=AP;" and r.created == "01-JAN-2000" and r.existence == "1" and r.comments is None
+
+
+def test_line_formats(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a x y\nACGT\n>b\nGG\n")
+    (tmp_path / "b.fa").write_text(">a\nAC\nGT\n")
+    (tmp_path / "c.tab").write_text("a b\tACGT\n\nc\tG\n")
+    assert [(r.record_id, r.description, r.seq) for r in readers.fasta_two_line(spark, str(tmp_path / "a.fa")).orderBy("record_id").collect()] == [("a", "x y", "ACGT"), ("b", "", "GG")]
+    with pytest.raises(Exception, match="not two lines"):
+        readers.fasta_two_line(spark, str(tmp_path / "b.fa")).collect()
+    assert [(r.record_id, r.seq, r.length) for r in readers.tab(spark, str(tmp_path / "c.tab")).orderBy("record_id").collect()] == [("a b", "ACGT", 4), ("c", "G", 1)]
+
+
+def test_unreadable_locations_are_left_out(spark, tmp_path):
+    (tmp_path / "a.gb").write_text(RECORD.replace("7^8", "7..x"))
+    assert [f.type for f in readers.genbank(spark, str(tmp_path / "a.gb")).first().features] == ["source", "CDS"]
+    assert [tuple(r) for r in readers.genbank_problems(spark, str(tmp_path / "a.gb")).collect()] == [("X1.1", "site", "7..x")]
+
+
 def test_bad_location():
     with pytest.raises(ValueError):
         readers.parse_location("1..x")
