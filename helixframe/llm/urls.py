@@ -132,7 +132,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
     found = sweep(lookups(pairs, depth), stacks).where("best IS NOT NULL")
     best = found.groupBy("host", "path").agg(F.max("best").alias("best"))
     best = materialize(best.select(F.col("host").alias(host), F.col("path").alias(path), F.col("best.name").alias("hx_rule"), F.col("best.verdict").alias("hx_verdict")), "url-verdicts")
-    out = rows.join(best.select(host, path, F.struct("hx_rule", "hx_verdict").alias("hx_best")), [host, path], "left")
+    # verdicts grow with the table: they are never broadcast
+    out = rows.join(best.select(host, path, F.struct("hx_rule", "hx_verdict").alias("hx_best")).hint("merge"), [host, path], "left")
     return out.select(
         *[F.col(f"`{c}`") for c in pages.columns],
         F.col(host).alias("hx_host"),
