@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACE, fresh, hash_sample, words
+from helixframe.llm.common import SPACE_CHARS, fresh, hash_sample, words
 from helixframe.runtime import barrier, let
 
-WINDOW = 8
+WINDOW = 8  # a power of two
 #: At most so many labelled rows teach the list; they are drawn by a hash of the id.
 SAMPLE_ROWS = 4000
 MIN_WORDS = 20
@@ -36,11 +36,16 @@ def statistics(docs: DataFrame, text_col: str = "text", features: tuple[str, ...
     A column of ``docs`` that has one of those names is replaced.
     """
     docs = docs.select([c for c in docs.columns if c.lower() not in (*STATS, *FEATURES)])
-    w, ls, h = fresh(docs, "hx_w", "hx_l", "hx_h")
+    w, ls, h, g, z = fresh(docs, "hx_w", "hx_l", "hx_h", "hx_g", "hx_z")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    a = barrier(docs, {w: words(F.col(f"`{text_col}`")), ls: F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
+    a = barrier(docs, {w: words(F.col(f"`{text_col}`")), ls: F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")})
     n = F.size(w)
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
+    # hashes of 1, 2, 4 and 8 words from each place, by doubling: a slice for each window would cost eight times the text
+    a = barrier(a, {h: F.transform(w, lambda x: F.xxhash64(x))})
+    for k in range(WINDOW.bit_length() - 1):
+        ahead = F.slice(h, F.lit((1 << k) + 1), F.greatest(F.size(h) - (1 << k), F.lit(0)))
+        a = barrier(a, {g: F.zip_with(h, ahead, lambda x, y: F.xxhash64(x, y))}).drop(h).withColumnRenamed(g, h)
+    windows = F.when(n >= WINDOW, F.slice(h, F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))))
     e = barrier(
         a,
         {
@@ -48,13 +53,13 @@ def statistics(docs: DataFrame, text_col: str = "text", features: tuple[str, ...
             "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x)),
             "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
-            h: windows,
+            z: windows,
         },
-    )
+    ).drop(h)
     # only texts with a repeated window pay for the sort
-    again = F.size(F.array_distinct(h)) < F.size(h)
-    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    e = barrier(e, {"n_repeat_words": F.when(again, let(ordered, _covered)).otherwise(0).cast("long")}).drop(h)
+    again = F.size(F.array_distinct(z)) < F.size(z)
+    ordered = F.sort_array(F.transform(z, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    e = barrier(e, {"n_repeat_words": F.when(again, let(ordered, _covered)).otherwise(0).cast("long")}).drop(z)
     some = lambda x: F.greatest(x, F.lit(1)).cast("double")
     count = lambda p: F.regexp_count(text, F.lit(p))
     nw, nc, nl = some(F.col("n_words")), some(F.col("word_chars")), some(F.size(ls))
