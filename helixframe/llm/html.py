@@ -62,6 +62,7 @@ LABELLED = (
     '<body><div class="alert notice">This page is old and will go away.</div><div id="header"><a>logo</a><span>a place for words</span></div><div id="main" role="main">[[<p>Words upon words make a page that people read.</p><table><tr><th>name</th><th>worth</th></tr><tr><td>first</td><td>ten</td></tr></table><p>As the table shows, little is left.</p><dl><dt>term</dt><dd>what the term means in this text</dd></dl>]]</div><div id="footer">terms of use</div><div class="hidden" hidden>never seen by anyone</div></body>',
     '<body><nav><a>home</a></nav><article class="story post">[[<h1>a story</h1><p>It begins here with a sentence, and there is another.</p>]]<aside><p>see also what others wrote</p></aside><form><input>go</form><div class="newsletter"><p>Have our letter sent to you each day.</p></div>[[<p>Middle.</p><h2>a part</h2><p>It goes on.</p>]]<div id="comments" class="comments"><p>nice post</p><p>I think so too, and I would add some words.</p></div>[[<p>Its last line.</p>]]</article><div class="sidebar"><p>more of it</p></div><footer>foot</footer></body>',
     '<body><div class="wrap"><div class="story article">[[<h2>the end of it</h2><p>Ends.</p><p>It had been long, and all were tired of it.</p><p>One more.</p>]]</div><div class="ad sponsored promo">Get one, get two.</div><aside class="related"><ul><li><a>a thing</a></li><li>some other thing</li></ul></aside></div></body>',
+    "<body><ul><li><a>one page</a></li><li><a>another page</a></li></ul><p>[[the words of this page have no marks between them and no end and they go on like that for a long while as words do when nobody cares to part them into sentences so there are many of them here]]</p><p>[[and there is a second one of the kind which also goes on and on without any sign that it would come to an end some time soon or later or at all]]</p><div class='links'><a>next</a><a>last</a></div></body>",
     '<body><nav><ul><li><a>a</a></li><li><a>b</a></li></ul></nav><div class="ad">Some words that sell a thing to you.</div><article>[[<h1>one title</h1><p>One text, with a <a>link</a> in it, that goes on and on.</p><p>Two.</p><p>Three words here.</p>]]</article><footer>&copy; this site, and some words about it.</footer></body>',
 )
 
@@ -146,7 +147,7 @@ def looks(b: Block) -> list[str]:
     """What the model is told of a block."""
     text = b.text()
     words = len(text.split())
-    out = ["bias", *b.where, f"words {min(4, words.bit_length() // 2)}"]
+    out = ["bias", *b.where, *(f"words {k}" for k in (2, 4, 8, 16, 32) if words >= k)]
     if b.where:
         out.append("in " + next((x for x in reversed(b.where) if x[0] == "<"), ""))
     if 2 * b.linked > words:

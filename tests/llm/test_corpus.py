@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -529,6 +531,84 @@ def test_against_sql(name, spark, duck):
     same(queries.QUERIES[name](spark, str(DATA)), duck.sql(queries.ORACLE[name]))
 
 
+def brute_features(t):
+    """All that a decision list looks at, by hand."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    repeated = len({k + j for k in range(len(w) - 7) if n[tuple(w[k : k + 8])] > 1 for j in range(8)})
+    ls = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    nw, nc, nl = max(len(w), 1), max(sum(map(len, w)), 1), max(len(ls), 1)
+    count = lambda chars: sum(c in chars for c in t)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    ratios = {"symbols": count("#*$%&|<>") / nc, "dup_lines": (len(ls) - len(set(ls))) / nl, "repeats": repeated / nw, "word_length": sum(map(len, w)) / nw, "upper": count(upper) / nc, "bangs": count("!") / nw, "line_words": len(w) / nl, "variety": len(set(w)) / nw, "digits": count(digits) / nc, "pipes": count("|") / nw, "stops": count(".") / nw, "word_count": float(len(w))}
+    return ratios, len(w) < 20 or 100 * repeated > 30 * len(w)
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Every stage of the pipeline against brute force (mixing: its SQL), each on what the one before it kept."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)
+    docs = common.table(spark, str(DATA), "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    rules = quality.train(docs, common.table(spark, str(DATA), "labels"))
+    judged = {i: brute_features(r.text or "") for i, r in rows.items()}
+    good = stage["quality rules"](spark, docs, str(DATA))
+    kept = {r.doc_id: r for r in good.collect()}
+    assert set(kept) == {i for i, (f, failed) in judged.items() if not failed and not rules.rejects(f)} and 0 < len(kept) < len(rows)
+
+    strip, low = "\t\n\x0b\x0c\r ", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(strip).translate(low)
+    held = {}
+    for i, r in kept.items():
+        for x in {key(x) for x in r.text.split("\n")}:
+            held.setdefault(x, []).append(i)
+    gone = {x: max(ids) for x, ids in held.items() if len(x) >= 20 and len(ids) >= 3}
+    want = {i: "\n".join(x for x in r.text.split("\n") if gone.get(key(x), i) == i) for i, r in kept.items()}
+    lined = stage["line dedup"](spark, good, str(DATA))
+    assert {r.doc_id: (r.text, r.n_chars) for r in lined.collect()} == {i: (t, len(t) if t != kept[i].text else kept[i].n_chars) for i, t in want.items()}
+
+    near = stage["SimHash near-dedup"](spark, lined, str(DATA)).cache()
+    single = near.collect()
+    assert sorted(r.doc_id for r in single) == kept_by_brute_force(list(want.items()))
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({c: [r[c] for r in single] for c in ("doc_id", "text", "lang", "source")}))
+    mixed = stage["mixing"](spark, near, str(DATA))
+    drawn = [r.doc_id for r in mixed.collect()]
+    assert Counter(drawn) == Counter(r[0] for r in con.sql(queries.ORACLE["op8_mixing"]).fetchall())
+
+    tok = Tokenizer.from_file(queries.vocabulary())
+    got = {}
+    for r in stage["best-fit packing"](spark, mixed, str(DATA)).collect():
+        got.setdefault(r.doc_id, Counter())[(r.piece, r.start, r.length, r.ids_crc32)] += 1
+    for i, times in Counter(drawn).items():
+        ids = np.array([*tok.encode(want[i], add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert got[i] == {(k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())): times for k, a in enumerate(range(0, len(ids), 2048))}
+
+
+def test_very_long_texts(spark):
+    """A text of 1.5 MB, its copy with one word changed, and a line of a million letters go through as a whole."""
+    rng = random.Random(31)
+    words = [f"u{rng.randrange(10**6)}" for _ in range(200_000)]
+    other = [*words[:100_000], "changed", *words[100_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "z" * 1_000_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in recompression.dedup(df).collect()}
+    assert [got[k].n_words for k in (1, 2, 3, 4)] == [200_000, 200_000, 1, 0]
+    assert got[1].n_removed == got[2].n_removed == 199_999 and got[3].n_removed == 0
+    got = {r.doc_id: r for r in suffixes.dedup(df).collect()}
+    assert got[3].n_removed == 1_000_000 and got[1].n_spans == got[2].n_spans == 2
+    assert {r.doc_id: r.component_id for r in simhash.components(df).collect()}[2] == 1
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3, 4]
+    assert {r.doc_id: r.n_words for r in quality.judge(df, quality.DecisionList()).collect()} == {1: 200_000, 2: 200_000, 3: 1, 4: 0}
+    assert {r.doc_id: r.hx_lines for r in lines.dedup_lines(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert html.extract("<p>" + rows[0][1] + "</p>", html.weights([])) == rows[0][1]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
