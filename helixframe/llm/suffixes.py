@@ -45,7 +45,7 @@ GRAM = 32
 #: Multikey quicksort looks at so many bytes; tries order what is equal up to there.
 SHALLOW = 16
 #: A shard of more spans is split by more bytes.
-SHARD_SPANS = 1024
+SHARD_SPANS = 4096
 
 
 def _gram_hashes(g: np.ndarray, n: int) -> np.ndarray:
