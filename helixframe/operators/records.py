@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequences import reverse_complement, translate
 from helixframe.runtime import barrier
 
-DOMAIN, BEST_HIT = "Domainator", "Domain_Search"  # fixed values: the feature types that carry domains and search hits
+#: The feature types that carry domains and search hits, unless a caller names those of its files.
+DOMAIN, BEST_HIT = "domain", "best_hit"
 #: Qualifiers that name a coding region, the first that it has.
 NAMES = ("gene_id", "locus_tag", "gene", "protein_id")
 PEPTIDE_NAMES = ("protein_id", "gene_id", "locus_tag", "gene")
@@ -177,7 +178,7 @@ def padded(parts: Column, up: int, down: int, length: Column) -> Column:
 # ---- coding regions and extraction
 
 
-def coding(records: DataFrame, evalue: float | None = None, score: float | None = None, skip_pseudo: bool = False, names: Sequence[str] = NAMES) -> DataFrame:
+def coding(records: DataFrame, evalue: float | None = None, score: float | None = None, skip_pseudo: bool = False, names: Sequence[str] = NAMES, kinds: tuple[str, str] = (DOMAIN, BEST_HIT)) -> DataFrame:
     """A row for each coding region: record_id, idx, num, name, cds, domains, domain_names, best_hit (features).
 
     Annotations below ``evalue`` and above ``score`` count; of regions with one number the first is kept.
@@ -199,18 +200,18 @@ def coding(records: DataFrame, evalue: float | None = None, score: float | None
 
         return F.filter("features", ok)
 
-    found = barrier(cds, {"domains": mine(DOMAIN), "best_hit": F.element_at(F.concat(F.array(F.lit(None).cast(cds.schema["cds"].dataType)), mine(BEST_HIT)), -1)})
+    found = barrier(cds, {"domains": mine(kinds[0]), "best_hit": F.element_at(F.concat(F.array(F.lit(None).cast(cds.schema["cds"].dataType)), mine(kinds[1])), -1)})
     return found.select("record_id", "idx", "num", "name", "cds", "domains", F.array_distinct(F.transform("domains", lambda f: qualifier(f, "name"))).alias("domain_names"), "best_hit")
 
 
-def extract_domains(records: DataFrame, evalue: float | None = None, score: float | None = None, names: Sequence[str] | None = None, databases: Sequence[str] | None = None, up: int = 0, down: int = 0, splice: bool = False, keep_direction: bool = False, keep_name: bool = False) -> DataFrame:
+def extract_domains(records: DataFrame, evalue: float | None = None, score: float | None = None, names: Sequence[str] | None = None, databases: Sequence[str] | None = None, up: int = 0, down: int = 0, splice: bool = False, keep_direction: bool = False, keep_name: bool = False, kind: str = DOMAIN) -> DataFrame:
     """The stretches of the records under their domains: a record for each, named by its place.
 
     ``splice`` joins a record's stretches, merged and in order, to one record.
     """
 
     def wanted(f: Column) -> Column:
-        ok = f["type"] == DOMAIN
+        ok = f["type"] == kind
         ok = ok & qualifier(f, "name").isin(*names) if names is not None else ok
         ok = ok & qualifier(f, "database").isin(*databases) if databases is not None else ok
         ok = ok & (number(f, "evalue") <= evalue) if evalue is not None else ok
@@ -241,9 +242,9 @@ def extract_domains(records: DataFrame, evalue: float | None = None, score: floa
     return sliced(named, F.col("hx_place"), truncate=True).drop("hx_places", "hx_place")
 
 
-def extract_peptides(records: DataFrame, domains: Sequence[str] | None = None, cds: Sequence[str] | None = None, every: bool = False, search_hits: bool = False, unannotated: bool = False, strand: str | None = None, invert: bool = False, evalue: float | None = None, keep_name: bool = False) -> DataFrame:
+def extract_peptides(records: DataFrame, domains: Sequence[str] | None = None, cds: Sequence[str] | None = None, every: bool = False, search_hits: bool = False, unannotated: bool = False, strand: str | None = None, invert: bool = False, evalue: float | None = None, keep_name: bool = False, kinds: tuple[str, str] = (DOMAIN, BEST_HIT)) -> DataFrame:
     """(record_id, source_contig, seq): the peptide of each chosen coding region, its stored translation or a new one."""
-    found = coding(records, evalue, skip_pseudo=True, names=PEPTIDE_NAMES)
+    found = coding(records, evalue, skip_pseudo=True, names=PEPTIDE_NAMES, kinds=kinds)
     keep = F.lit(every)
     if domains is not None:
         keep = keep | F.arrays_overlap("domain_names", F.array(*map(F.lit, domains)))
@@ -302,9 +303,9 @@ def qualifier_count(features: Column, kind: str, name: str) -> Column:
     return F.size(F.filter(features, lambda f: (f["type"] == kind) & has(f, name)))
 
 
-def identity_sum(features: Column) -> Column:
+def identity_sum(features: Column, kind: str = DOMAIN) -> Column:
     """The domains' identities in sum; a domain without one counts 0."""
-    domains = F.filter(features, lambda f: f["type"] == DOMAIN)
+    domains = F.filter(features, lambda f: f["type"] == kind)
     return F.aggregate(F.transform(domains, lambda f: F.coalesce(number(f, "identity"), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
 
 

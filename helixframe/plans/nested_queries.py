@@ -30,7 +30,7 @@ def lined(spark, d) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", "k", F.char_length("line").alias("n"))
     before = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lines.withColumn("start", before).where("n > 0")
-    made = placed.select("doc_id", "k", _feature("Domainator", F.col("start"), F.col("start") + F.col("n"), name=F.col("k"), evalue=F.col("k"), score=F.col("n")).alias("f"))
+    made = placed.select("doc_id", "k", _feature("domain", F.col("start"), F.col("start") + F.col("n"), name=F.col("k"), evalue=F.col("k"), score=F.col("n")).alias("f"))
     held = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "f")), lambda x, y: x["k"] - y["k"]).alias("fs"))
     held = held.select("doc_id", F.transform("fs", lambda x: x["f"]).alias("fs"))
     return _records(docs.join(held, "doc_id"), "doc_id", "text", F.col("fs"))
@@ -58,7 +58,7 @@ def ordered_lines(spark, d) -> DataFrame:
     li = T.read(spark, d, "lineitem").where("l_linenumber IS NOT NULL")
     at = F.col("l_linenumber").cast("int")
     cds = _feature("CDS", at - 1, at, cds_id=F.col("l_linenumber"), locus_tag=F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
-    domain = _feature("Domainator", at - 1, at, cds_id=F.col("l_linenumber"), name=F.col("l_returnflag"), evalue=F.col("l_discount"), score=F.col("l_extendedprice"), identity=F.col("l_quantity"))
+    domain = _feature("domain", at - 1, at, cds_id=F.col("l_linenumber"), name=F.col("l_returnflag"), evalue=F.col("l_discount"), score=F.col("l_extendedprice"), identity=F.col("l_quantity"))
     rows = li.select("l_orderkey", cds.alias("c"), domain.alias("m"))
     rows = rows.groupBy("l_orderkey").agg(F.collect_list("c").alias("cs"), F.collect_list("m").alias("ms"))
     return _records(rows.withColumn("s", F.lit("ACGTACGT")), "l_orderkey", "s", F.concat("cs", "ms"))

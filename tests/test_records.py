@@ -21,9 +21,9 @@ def recs(spark):
         feature("CDS", [(0, 18, 1)], locus_tag="one"),
         feature("CDS", [(18, 30, -1)], gene="two", pseudo=""),
         feature("CDS", [(18, 24, 1), (27, 30, 1)], cds_id="c3", translation="MPK"),
-        feature("Domainator", [(3, 9, 1)], cds_id="1_1_18", name="D1", database="db", evalue="0.001", score="10", identity="50"),
-        feature("Domainator", [(6, 15, 1)], cds_id="1_1_18", name="D2", database="db", evalue="0.1", score="5"),
-        feature("Domain_Search", [(18, 24, 1)], cds_id="c3", name="Q", evalue="0", score="9"),
+        feature("domain", [(3, 9, 1)], cds_id="1_1_18", name="D1", database="db", evalue="0.001", score="10", identity="50"),
+        feature("domain", [(6, 15, 1)], cds_id="1_1_18", name="D2", database="db", evalue="0.1", score="5"),
+        feature("best_hit", [(18, 24, 1)], cds_id="c3", name="Q", evalue="0", score="9"),
     ]
     rows = [("r1", "linear", len(SEQ), SEQ, features), ("r2", "linear", 4, "ACGT", []), ("r3", "linear", 4, "ACGT", None)]
     return spark.createDataFrame(rows, f"record_id string, topology string, length int, seq string, features {FEATURES}")
@@ -36,10 +36,10 @@ def parts_of(row):
 def test_slices(recs):
     cut = {r.record_id: r for r in R.sliced(recs, R.location(6, 20)).collect()}
     assert cut["r1"].seq == SEQ[6:20] and cut["r1"].length == 14 and cut["r2"].seq == ""
-    assert parts_of(cut["r1"]) == [("source", [(0, 14, 1)]), ("CDS", [(0, 12, 1)]), ("CDS", [(12, 14, -1)]), ("CDS", [(12, 14, 1)]), ("Domainator", [(0, 3, 1)]), ("Domainator", [(0, 9, 1)]), ("Domain_Search", [(12, 14, 1)])]
+    assert parts_of(cut["r1"]) == [("source", [(0, 14, 1)]), ("CDS", [(0, 12, 1)]), ("CDS", [(12, 14, -1)]), ("CDS", [(12, 14, 1)]), ("domain", [(0, 3, 1)]), ("domain", [(0, 9, 1)]), ("best_hit", [(12, 14, 1)])]
     back = R.sliced(recs, R.location(3, 15, -1), truncate=False).where("record_id = 'r1'").first()
     assert back.seq == "AAACCCGGGTTT"[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    assert parts_of(back) == [("source", [(0, 12, -1)]), ("Domainator", [(6, 12, -1)]), ("Domainator", [(0, 9, -1)])]
+    assert parts_of(back) == [("source", [(0, 12, -1)]), ("domain", [(6, 12, -1)]), ("domain", [(0, 9, -1)])]
     two = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("strand")) for a, b, s in ((24, 30, 1), (0, 6, 1))])
     joined = R.sliced(recs, two).where("record_id = 'r1'").first()
     assert joined.seq == SEQ[24:] + SEQ[:6] and parts_of(joined)[1] == ("CDS", [(6, 12, 1)])
@@ -67,7 +67,7 @@ def test_extraction(recs):
 
 def test_report_columns(recs):
     f = F.col("features")
-    got = recs.select(R.qualifier_list(f, "Domainator", "name"), R.qualifier_count(f, "Domainator", "identity"), R.identity_sum(f), R.starts_with(F.col("seq"))).first()
+    got = recs.select(R.qualifier_list(f, "domain", "name"), R.qualifier_count(f, "domain", "identity"), R.identity_sum(f), R.starts_with(F.col("seq"))).first()
     assert tuple(got) == ("D1; D2", 1, 50.0, "A")
 
 
