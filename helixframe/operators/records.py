@@ -289,6 +289,73 @@ def select_by_cds(records: DataFrame, names: Sequence[str], cds_up: int = 0, cds
     return sliced(out, location(F.col("hx_s"), F.col("hx_e"), F.col("hx_d")), truncate=False).drop("hx_s", "hx_e", "hx_d")
 
 
+# ---- cleaning, notes and alignment of records
+
+
+def moved(f: Column, parts: Column) -> Column:
+    """A feature with its qualifiers at another place; parts with more than one piece are joined."""
+    return f.withField("parts", parts).withField("operator", F.when(F.size(parts) > 1, F.lit("join")).otherwise(F.lit("")))
+
+
+def cleaned(records: DataFrame, best_hits: bool = False, annotations: bool = False, cds: bool = False, protein: bool = False, kinds: tuple[str, str] = (DOMAIN, BEST_HIT)) -> DataFrame:
+    """Records without the features that are switched on, and with ``n_cds``.
+
+    In nucleotide records every coding region that is not a pseudogene gets its number as ``cds_id``
+    and, where it has no translation or an empty one, the translation of its place.
+    """
+    gone = [kind for kind, drop in ((kinds[0], annotations), (kinds[1], best_hits), ("CDS", cds)) if drop]
+    kept = F.filter("features", lambda f: ~f["type"].isin(*gone)) if gone else F.col("features")
+    if protein:
+        return records.withColumns({"features": kept, "n_cds": F.lit(0)})
+    real = lambda f: (f["type"] == "CDS") & ~pseudo(f)
+
+    def peptide(f: Column) -> Column:
+        def piece(p: Column) -> Column:
+            dna = F.substring(F.col("seq"), p["start"] + 1, p["end"] - p["start"])
+            return F.when(p["strand"] < 0, reverse_complement(dna)).otherwise(dna)
+
+        return translate(F.array_join(F.transform(f["parts"], piece), ""))
+
+    def filled(f: Column) -> Column:
+        stored = qualifier(f, "translation")
+        own = F.map_filter(f["qualifiers"], lambda k, _: ~k.isin("cds_id", "translation"))
+        made = F.create_map(F.lit("cds_id"), F.array(cds_number(f)), F.lit("translation"), F.array(F.when(F.char_length(stored) > 0, stored).otherwise(peptide(f))))
+        return F.when(real(f), f.withField("qualifiers", F.map_concat(own, made))).otherwise(f)
+
+    rows = barrier(records, {"hx_kept": kept})
+    return rows.withColumns({"n_cds": F.coalesce(F.size(F.filter("hx_kept", real)), F.lit(0)), "features": F.transform("hx_kept", filled)}).drop("hx_kept")
+
+
+def notes(records: DataFrame, kind: str = DOMAIN) -> DataFrame:
+    """(record_id, cds_id, database, notes): ``name (description, evalue, score)`` of each domain, in the order of the features.
+
+    A domain without one of these qualifiers has an empty string in its place.
+    """
+    q = lambda name: F.coalesce(qualifier(F.col("f"), name), F.lit(""))
+    rows = records.select("record_id", F.posexplode(F.filter("features", lambda f: f["type"] == kind)).alias("k", "f"))
+    note = F.concat(q("name"), F.lit(" ("), F.concat_ws(", ", q("description"), q("evalue"), q("score")), F.lit(")"))
+    rows = rows.select("record_id", q("cds_id").alias("cds_id"), q("database").alias("database"), F.struct("k", note.alias("note")).alias("x"))
+    return rows.groupBy("record_id", "cds_id", "database").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["note"]).alias("notes"))
+
+
+def source_taxons(features: Column) -> Column:
+    """The taxon of each source feature, its first ``taxon:`` reference that ends in a number; sources without one are left out."""
+    xrefs = lambda f: F.coalesce(F.try_element_at(f["qualifiers"], F.lit("db_xref")), F.array().cast("array<string>"))
+    named = lambda f: F.get(F.filter(xrefs(f), lambda x: x.rlike(r"^taxon:(?:.*:)?\d+$")), F.lit(0))
+    found = F.transform(F.filter(features, lambda f: f["type"] == "source"), named)
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.regexp_extract(x, r"(\d+)$", 1).cast("long"))
+
+
+def aligned(records: DataFrame, before: str, pad: str = "N") -> DataFrame:
+    """Sequences padded on both sides, so that the place ``before`` letters from the start is one column and all are of one length."""
+    n = F.char_length("seq")
+    # one row
+    tops = records.agg(F.max(before).alias("hx_left"), F.max(n - F.col(before)).alias("hx_right"))
+    left, right = F.col("hx_left") - F.col(before), F.col("hx_right") - (n - F.col(before))
+    fill = lambda k: F.repeat(F.lit(pad), k.cast("int"))
+    return records.join(F.broadcast(tops), F.lit(True)).withColumn("seq", F.concat(fill(left), "seq", fill(right))).drop("hx_left", "hx_right")
+
+
 # ---- report columns over nested features
 
 

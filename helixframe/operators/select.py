@@ -140,3 +140,8 @@ def profiles(table: DataFrame, fields: Sequence[str], exact: Sequence[str] = (),
         tests += [c == low(x) for x in exact] + [F.contains(c, F.lit(low(x))) for x in contains]
         tests += [F.col(f).rlike(x if case else f"(?i){x}") for x in regex]
     return table.where(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])) if tests else table
+
+
+def with_download(rows: DataFrame, path: str = "ftp_path") -> DataFrame:
+    """Assemblies that name a place to fetch them from (not ``na``)."""
+    return rows.where(F.trim(path) != "na")

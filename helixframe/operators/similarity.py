@@ -104,6 +104,13 @@ def weighted(parts: list[tuple[float, DataFrame]], lower: float = 0.0) -> DataFr
     return rows.groupBy("i", "j").agg(F.sum("score").alias("score")).where(F.col("score") > lower)
 
 
+def kmer_size(kind: str = "protein", k: int | None = None) -> int:
+    """The length of k-mers: what is asked for, else 5 residues or 15 bases."""
+    if k is not None and k < 1:
+        raise ValueError("k must be at least 1")
+    return k if k is not None else 15 if kind == "dna" else 5
+
+
 def kmers(rows: DataFrame, record: str, seq: str, k: int, kind: str = "protein") -> DataFrame:
     """Distinct (record, feature) k-mers.
 

@@ -86,3 +86,10 @@ def at_rank(paths: DataFrame, nodes: DataFrame, names: DataFrame, rank: str) ->
 def roll_up(counts: DataFrame, paths: DataFrame) -> DataFrame:
     """(ancestor, n): counts (taxid, n) of each node's whole subtree."""
     return counts.join(paths.select("taxid", "ancestor"), "taxid").groupBy("ancestor").agg(F.sum("n").alias("n"))
+
+
+def counted(taxids: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(taxid, name, rank, count): how often each taxid stands in ``taxids``, with its scientific name and rank."""
+    n = taxids.groupBy("taxid").agg(F.count(F.lit(1)).alias("count"))
+    named = names.where(F.col("class") == "scientific name").select("taxid", "name")
+    return n.join(nodes.select("taxid", "rank"), "taxid", "left").join(named, "taxid", "left").select("taxid", "name", "rank", "count")

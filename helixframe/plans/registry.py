@@ -24,6 +24,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     from helixframe.plans import (  # noqa: F401
+        annotation_queries,
         graph_queries,
         hit_queries,
         nested_queries,

@@ -267,3 +267,41 @@ def coordinates(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
         raise ValueError(f"the table lacks {sorted(missing)}")
     strand = F.coalesce(F.col("strand").cast("int"), F.lit(1)) if "strand" in t.columns else F.lit(1)
     return t.select("contig", (F.col("start").cast("int") - 1).alias("start"), F.col("end").cast("int").alias("end"), strand.alias("strand"))
+
+
+def assembly_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an assembly summary (a comment line, then a header that starts with #), all as text, with ``versionless_accession``."""
+    # the header is the second line of the file
+    head = [r["value"] for r in spark.read.text(path).limit(2).collect()]
+    names = head[1].lstrip("# ").rstrip("\n").split("\t")
+    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).options(sep="\t", comment="#", quote="").csv(path)
+    return rows.withColumn("versionless_accession", F.substring_index("assembly_accession", ".", 1))
+
+
+def offsets(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(offset, n_proteins): where each record of one uncompressed file starts, in bytes, and its coding regions.
+
+    A record of FASTA, or of residues, counts as one.  The file is read in splits; only these
+    two numbers of a record leave the task.
+    """
+    kind = kind or file_kind(path)
+    if kind not in ("genbank", "fasta") or re.search(r"\.(gz|bgz|bgzf|bz2|zst)$", path.lower()):
+        raise ValueError(f"no offsets for {path}")
+    mark = "LOCUS " if kind == "genbank" else ">"
+    io = "org.apache.hadoop."
+    chunks = spark.sparkContext.newAPIHadoopFile(path, io + "mapreduce.lib.input.TextInputFormat", io + "io.LongWritable", io + "io.Text", conf={"textinputformat.record.delimiter": "\n" + mark})
+
+    def place(chunk: tuple[int, str]):
+        at, text = chunk
+        if at == 0:
+            # what stands before the first record is none
+            if not text.startswith(mark):
+                return []
+            at, text = len(mark), text[len(mark) :]
+        if kind == "fasta":
+            return [(at - len(mark), 1)]
+        words = text.split("\n", 1)[0].split()
+        residues = len(words) > 2 and words[2] == "aa"
+        return [(at - len(mark), 1 if residues else text.count("\n     CDS "))]
+
+    return spark.createDataFrame(chunks.flatMap(place), "offset long, n_proteins long")

@@ -80,3 +80,29 @@ def by_cluster(rows: DataFrame, cluster: str, path: str, min_size: int = 1) -> N
     sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("hx_n"))
     out = rows.join(sizes, cluster).withColumn(cluster, F.when(F.col("hx_n") >= min_size, F.col(cluster)).otherwise(F.lit(0))).drop("hx_n")
     out.write.partitionBy(cluster).parquet(path)
+
+
+def as_row(rows: DataFrame) -> Column:
+    """A row as tab-separated text: nulls empty, whole numbers plain, other numbers with one decimal place, tabs in text as blanks."""
+
+    def cell(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            c = F.call_function("format_number", c.cast("double"), F.lit("0.0"))
+        else:
+            c = F.translate(c.cast("string"), "\t", " ")
+        return F.coalesce(c, F.lit(""))
+
+    return F.concat_ws("\t", *[cell(name, kind) for name, kind in rows.dtypes])
+
+
+def report(rows: DataFrame, path: str) -> None:
+    """A typed report; each file starts with the names of its columns."""
+    lines = rows.select(as_row(rows).alias("\t".join(rows.columns)))
+    # one column with a separator that does not occur: the lines are written as they are
+    lines.write.options(header=True, sep="\x01", quote="\x00", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def projected_bytes(lines: DataFrame, column: str = "value") -> int:
+    """Bytes that the lines will take as text, for ``check_size``."""
+    return lines.agg(F.sum(F.octet_length(column) + 1)).first()[0] or 0
