@@ -74,7 +74,7 @@ def shards(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def greedy_partitions(rows: DataFrame, by: str, order: Sequence[str], weight: str, target: int) -> DataFrame:
-    """Adds ``part``: within each ``by``, a new part starts once the running weight reaches the target."""
+    """Adds ``part``: within each ``by``, a new part starts once the running weight reaches the target; a null weight is 0."""
     import pyarrow as pa
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", part long"
@@ -85,7 +85,7 @@ def greedy_partitions(rows: DataFrame, by: str, order: Sequence[str], weight: st
         out, part, total = [], 0, 0
         for w in t.column(weight).to_pylist():
             out.append(part)
-            total += w
+            total += w or 0
             if total >= target:
                 part, total = part + 1, 0
         return t.append_column("part", pa.array(out, pa.int64()))

@@ -62,7 +62,13 @@ def filter_annotations(spark, d):
     return got.select("record", "cds", "name", "database", "part", "line")
 
 
-@query()
+#: One feature after the other, with the places that are kept so far.
+_KEPT = """o AS (SELECT *, CAST(id * 7919 % 1000 AS DOUBLE) AS score FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY score DESC, id) AS rn FROM o),
+r AS (SELECT record, rn, true AS ok, [{'s': start, 'e': "end"}] AS kept FROM k WHERE rn = 1
+ UNION ALL SELECT record, rn, ok, CASE WHEN ok THEN list_append(kept, {'s': start, 'e': "end"}) ELSE kept END FROM (SELECT k.record, k.rn, k.start, k."end", r.kept, NOT coalesce(list_bool_or(list_transform(r.kept, lambda x: (least(k."end", x.e) - greatest(k.start, x.s)) / (k."end" - k.start) > 0.3)), false) AS ok FROM r JOIN k ON k.record = r.record AND k.rn = r.rn + 1))"""
+
+
+@query(f'WITH RECURSIVE {PL}, {_KEPT} SELECT k.record, k.start, k."end", k.name, k.id, k.score FROM k JOIN r USING (record, rn) WHERE r.ok')
 def nms_overlap(spark, d):
     return select.greedy_non_overlapping(T.placed(spark, d).withColumn("score", F.pmod(F.col("id") * 7919, F.lit(1000)).cast("double")), ["record"], 0.3, tie=["id"])
 
@@ -143,7 +149,13 @@ def sort_contigs(spark, d):
     return windows.sort_records(T.features(spark, d), "record", names=["Brand#11", "Brand#12"], top=20)
 
 
-@query()
+#: One feature after the other, with the end of each lane; the first lane that has ended is taken.
+_LANES = """k AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY start, "end", id) AS rn FROM e),
+r AS (SELECT record, rn, 1 AS slot, ["end"] AS free FROM k WHERE rn = 1
+ UNION ALL SELECT record, rn, slot, list_concat(list_slice(free, 1, slot - 1), ["end"], list_slice(free, slot + 1, len(free))) FROM (SELECT k.record, k.rn, k."end", r.free, CAST(coalesce(nullif(list_position(list_transform(r.free, lambda x: x <= k.start), true), 0), len(r.free) + 1) AS INT) AS slot FROM r JOIN k ON k.record = r.record AND k.rn = r.rn + 1))"""
+
+
+@query(f'WITH RECURSIVE {PL}, {_LANES} SELECT k.record, k.start, k."end", k.name, k.id, CAST(r.slot - 1 AS INT) AS lane FROM k JOIN r USING (record, rn)')
 def lane_assignment(spark, d):
     return windows.lanes(T.placed(spark, d), "record", tie=["id"])
 
@@ -316,7 +328,10 @@ def shard_ntile(spark, d):
     return editing.shards(T.read(spark, d, "documents").select("doc_id"), ["doc_id"], 7).select("doc_id", "shard")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+r AS (SELECT *, 0 AS part, n_chars AS total FROM o WHERE rn = 1
+ UNION ALL SELECT o.*, CASE WHEN total >= 10000 THEN part + 1 ELSE part END, CASE WHEN total >= 10000 THEN o.n_chars ELSE total + o.n_chars END FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1)
+SELECT source, doc_id, n_chars, CAST(part AS BIGINT) AS part FROM r""")
 def partition_greedy(spark, d):
     return editing.greedy_partitions(T.read(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 10000)
 

@@ -74,7 +74,7 @@ def net_charge(spark, d):
     return proteins(spark, d).select("id", F.round(S.charge(F.col("aa")), 6).alias("charge"), S.extinction(F.col("aa"))["reduced"].alias("reduced"))
 
 
-@query()
+@query(f"WITH RECURSIVE {AA}, r AS (SELECT id, aa, CAST(4.05 AS DOUBLE) AS lo, CAST(12 AS DOUBLE) AS hi, 0 AS k FROM p UNION ALL SELECT id, aa, CASE WHEN c > 0 THEN mid ELSE lo END, CASE WHEN c > 0 THEN hi ELSE mid END, k + 1 FROM (SELECT *, {_charge_sql('mid')} AS c FROM (SELECT *, (lo + hi) / 2 AS mid FROM r WHERE k < 18))) SELECT id, round(CASE WHEN length(aa) > 0 THEN (lo + hi) / 2 END, 3) AS pi FROM r WHERE k = 18")
 def isoelectric_point(spark, d):
     return proteins(spark, d).select("id", F.round(S.isoelectric_point(F.col("aa")), 3).alias("pi"))
 
@@ -198,7 +198,9 @@ def codon_usage(spark, d):
     return C.codon_adaptiveness(order_sequences(spark, d), "seq").where("n > 0").select("codon", "n")
 
 
-@query()
+@query(f"""WITH {SEQ}, m AS (SELECT unnest(map_entries(MAP {{{_CODONS}}}), recursive := true)), w AS (SELECT id, substring(seq, CAST(3 * k + 1 AS BIGINT), 3) AS codon FROM (SELECT id, seq, unnest(range(0, length(seq) // 3)) AS k FROM s)),
+n AS (SELECT codon, count(*) AS n FROM w GROUP BY 1), f AS (SELECT key AS codon, coalesce(n, 0.5) / max(coalesce(n, 0.5)) OVER (PARTITION BY value) AS weight FROM m LEFT JOIN n ON codon = key),
+g AS (SELECT id, exp(avg(ln(weight))) AS cai FROM w JOIN f USING (codon) WHERE codon NOT IN ('ATG', 'TGG') GROUP BY id) SELECT s.id, round(cai, 6) AS cai FROM s LEFT JOIN g USING (id)""")
 def codon_adaptation(spark, d):
     """Whole codons of each sequence against the usage of all of them: 64 weights are collected."""
     rows = order_sequences(spark, d).withColumn("cds", F.left("seq", F.floor(F.char_length("seq") / 3).cast("int") * 3))
